@@ -3,11 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataloom.llm import packing, shared_spans, tokens
+from strataloom.llm import packing, pair_defects, shared_spans, tokens
 from strataloom.sources.tables import table
 
 
+_PAIR = ["pair_table", "id"]
+
+
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.label_pairs(pair_defects.record_pairs(table(spark, folder, "asks"), table(spark, folder, "answers")), _PAIR)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.main_defect(_labelled(spark, folder), _PAIR)
+
+
+def p1_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """All labels above their cutoffs, one row each, with the posterior."""
+    each = _labelled(spark, folder).select(*_PAIR, F.explode("labels").alias("defect"), "posteriors")
+    return each.select(*_PAIR, "defect", F.round(F.element_at("posteriors", F.col("defect")), 6).alias("posterior"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
 
@@ -24,5 +42,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_words(table(spark, folder, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
