@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import packing, pair_defects, shared_spans, tokens
+from strataloom.llm import function_docs, packing, pair_defects, shared_spans, tokens
 from strataloom.sources.tables import table
 
 
@@ -26,6 +26,14 @@ def p1_labels(spark: SparkSession, folder: str) -> DataFrame:
     return each.select(*_PAIR, "defect", F.round(F.element_at("posteriors", F.col("defect")), 6).alias("posterior"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return function_docs.function_pairs(table(spark, folder, "chunks")).select("chunk_id").distinct()
+
+
+def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return function_docs.function_pairs(table(spark, folder, "chunks")).dropDuplicates(["chunk_id"])
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
 
@@ -42,5 +50,6 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_words(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {
+    "p2_found": p2_found, "p2_pairs": p2_pairs, "p1_found": p1_found, "p1_labels": p1_labels, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
