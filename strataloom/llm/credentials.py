@@ -12,7 +12,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -266,15 +266,16 @@ def embedded_credentials(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     counts = dictionary(chunks)
     rows = chunks.where(F.col(key).isNotNull() & (F.length("code") > 0)).select(F.col(key).alias("__key"), "code", (~F.coalesce(F.lower("file").rlike(r"\.(py|java|kt|js|ts|go|c|cc|cpp|rs|scala)$"), F.lit(False))).alias("bare"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Dictionary(counts)
         for batch in batches:
             keys, lines, codes = [], [], []
-            for k, code, bare in zip(batch["__key"], batch["code"], batch["bare"]):
+            for k, code, bare in zip(*(batch.column(c).to_pylist() for c in ("__key", "code", "bare"))):
                 if secrets := find_secrets(code, bare, words):
                     keys.append(k)
                     lines.append(sorted({code.count("\n", 0, s[0][0]) + 1 for s in secrets}))
                     codes.append(redact(code, secrets))
-            yield pd.DataFrame({"__key": pd.Series(keys, dtype=batch["__key"].dtype), "line_nos": lines, "redacted": codes})
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("__key").type), pa.array(lines, pa.list_(pa.int64())), pa.array(codes, pa.string())], names=["__key", "line_nos", "redacted"])
 
-    return rows.mapInPandas(run, f"__key {kind}, line_nos array<bigint>, redacted string").withColumnRenamed("__key", key)
+    return rows.mapInArrow(run, f"__key {kind}, line_nos array<bigint>, redacted string").withColumnRenamed("__key", key)
