@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import credentials, function_docs, packing, pair_defects, shared_spans, tokens
+from strataloom.llm import credentials, function_docs, packing, pair_defects, shared_spans, source_syntax, tokens
 from strataloom.sources.tables import table
 
 
@@ -34,6 +34,19 @@ def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return function_docs.function_pairs(table(spark, folder, "chunks")).dropDuplicates(["chunk_id"])
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return source_syntax.invalid_files(table(spark, folder, "source_files")).select("file_id").distinct()
+
+
+def p4_causes(spark: SparkSession, folder: str) -> DataFrame:
+    return source_syntax.invalid_files(table(spark, folder, "source_files"))
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "source_files")
+    return source_syntax.invalid_rates(files, source_syntax.invalid_files(files))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     found = credentials.embedded_credentials(table(spark, folder, "chunks"))
     return found.select("chunk_id", F.explode("line_nos").alias("line_no")).distinct()
@@ -60,6 +73,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found, "p4_causes": p4_causes, "p4_rates": p4_rates,
     "p5_found": p5_found, "p5_redacted": p5_redacted,
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p1_found": p1_found, "p1_labels": p1_labels, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
