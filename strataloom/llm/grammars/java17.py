@@ -17,7 +17,7 @@ _PRIMITIVES = {"boolean", "byte", "char", "double", "float", "int", "long", "sho
 GRAMMAR = r"""
 file <- modular / package? (import / ';')* type_decl*
 modular <- import* annotation* OPEN? MODULE qname '{' directive* '}'
-directive <- name ('static' / name)* qname (name qname (',' qname)*)? ';'
+directive <- name (name / 'static' / '.' / ',')+ ';'
 package <- annotation* 'package' qname ';'
 import <- 'import' 'static'? name ('.' name)* ('.' '*')? ';'
 qname <- name ('.' name)*
