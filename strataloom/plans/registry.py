@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import records_general
+from strataloom.plans import code, records_general
 
-_MODULES = (records_general,)
+_MODULES = (code, records_general)
 
 
 def queries() -> dict:
