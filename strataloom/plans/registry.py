@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import code, records_general
+from strataloom.plans import code, records, records_general
 
-_MODULES = (code, records_general)
+_MODULES = (code, records, records_general)
 
 
 def queries() -> dict:
