@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 #: Dotted names of the standard library, by their first segment.
 STDLIB = frozenset(sys.stdlib_module_names)
-# Fixed value: builtin callables that never resolve to a definition of the repository.
-BUILTINS = "abs all any bool bytes dict enumerate filter float frozenset getattr hasattr hash id int isinstance issubclass iter len list map max min next object open ord print range repr reversed round set setattr sorted str sum super tuple type vars zip".split()
+# Names of common methods of the language that never resolve to a definition of the repository.
+BUILTINS = (
+    "add append extend insert remove pop clear get keys values items update setdefault copy sort reverse count index "
+    "join split splitlines strip lstrip rstrip replace format startswith endswith lower upper encode decode find "
+    "read write close open read_text write_text read_bytes exists resolve expanduser mkdir glob is_file is_dir unlink relative_to "
+    "run main start stop send next group match search commit execute fetchall fetchone connect"
+).split()
 
 
 def dotted_suffixes(name: Column) -> Column:

@@ -1,15 +1,16 @@
 """Call sites, their resolution to definitions, and the graph they make.
 
 Resolution never lists candidate pairs: definitions are counted beforehand by name, by name and
-file, by name and class, and by name and module, and each call looks its counts up by key.
+file, by name and class, and by name and the key under which an import reaches them, and each call
+looks its counts up by key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.names import BUILTINS, dotted_suffixes, module_name
+from strataloom.functions.names import BUILTINS
 
 CALL = r"(?:([A-Za-z_]\w*)\.)?([A-Za-z_]\w*)\("
 RULES = ("builtin", "external", "unique", "same_class", "same_file", "import", "ambiguous")
@@ -24,11 +25,24 @@ def call_sites(chunks: DataFrame) -> DataFrame:
 
 
 def definitions(chunks: DataFrame) -> DataFrame:
-    """repo_id, name, file, parent, id of the Python functions and methods; overloads are one."""
-    leaf = F.regexp_extract("symbol", r"([A-Za-z_]\w*)(?:#\d+)?$", 1)
-    own = F.concat_ws("::", "file", F.regexp_replace("symbol", r"#\d+$", ""))
-    kept = chunks.where(F.col("kind").isin("function", "method") & F.col("file").endswith(".py"))
-    return kept.select("repo_id", leaf.alias("name"), "file", F.coalesce("parent", F.lit("")).alias("parent"), own.alias("id")).distinct()
+    """repo_id, name, file, parent, symbol, id of the Python classes, functions and methods; each overload is one row."""
+    plain = F.regexp_replace("symbol", r"#\d+$", "")
+    kept = chunks.where(F.col("kind").isin("class", "function", "method") & F.col("file").endswith(".py"))
+    leaf = F.regexp_extract(plain, r"([A-Za-z_]\w*)$", 1)
+    return kept.select("repo_id", leaf.alias("name"), "file", F.coalesce("parent", F.lit("")).alias("parent"), "symbol", F.concat_ws("::", "file", plain).alias("id")).distinct()
+
+
+def _reach_key(file: Column) -> Column:
+    """Key under which imports reach a file: its last dotted part, marked whether more stands before it."""
+    module = F.regexp_replace(file, r"\.py$", "")
+    return F.concat(F.when(F.contains(module, F.lit("/")), "2:").otherwise("1:"), F.regexp_extract(module, r"([^/]*)$", 1))
+
+
+def _import_keys(name: Column) -> Column:
+    """Keys of the files that an import reaches: with the same last part, or, at the root, with a name that it ends with."""
+    last = F.regexp_extract(name, r"([^.]*)$", 1)
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.length(last), F.lit(1))), lambda i: F.concat(F.lit("1:"), F.substr(last, i)))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("2:"), last)), ends))
 
 
 def _counted(defs: DataFrame, *by: str, prefix: str) -> DataFrame:
@@ -38,13 +52,14 @@ def _counted(defs: DataFrame, *by: str, prefix: str) -> DataFrame:
 def resolve_calls(sites: DataFrame, defs: DataFrame) -> DataFrame:
     """chunk_id, src, receiver, name, rule and dst: the first rule that leaves exactly one definition.
 
-    builtin (a plain call of a builtin), external (no definition in the repository), unique,
-    same_class (receiver self), same_file, import (the file's imports name its module), ambiguous.
+    builtin (a name of the language, whatever the receiver), external (no definition in the
+    repository), unique, same_class (receiver self), same_file, import (an import reaches the
+    definition's file), ambiguous.
     """
     site = sites.withColumns({"src": F.concat_ws("::", "file", F.regexp_replace("symbol", r"#\d+$", "")), "own": F.coalesce("parent", F.lit(""))})
-    by_module = defs.withColumn("module", F.explode(dotted_suffixes(module_name(F.col("file"))))).select("repo_id", "name", "module", "id")
-    wanted = site.select("chunk_id", "repo_id", "name", F.explode(F.coalesce("imports", F.array().cast("array<string>"))).alias("module")).distinct()
-    imported = wanted.join(_counted(by_module, "repo_id", "name", "module", prefix="i"), ["repo_id", "name", "module"]).groupBy("chunk_id", "name").agg(F.sum("i_n").alias("i_n"), F.min("i_id").alias("i_id"))
+    keyed = _counted(defs.withColumn("key", _reach_key(F.col("file"))), "repo_id", "name", "key", prefix="i")
+    wanted = site.select("chunk_id", "repo_id", "name", F.explode(F.coalesce("imports", F.array().cast("array<string>"))).alias("import")).select("chunk_id", "repo_id", "name", F.explode(_import_keys(F.col("import"))).alias("key")).distinct()
+    imported = wanted.join(keyed, ["repo_id", "name", "key"]).groupBy("chunk_id", "name").agg(F.sum("i_n").alias("i_n"), F.min("i_id").alias("i_id"))
     joined = (
         site.join(_counted(defs, "repo_id", "name", prefix="r"), ["repo_id", "name"], "left")
         .join(_counted(defs, "repo_id", "name", "file", prefix="f"), ["repo_id", "name", "file"], "left")
@@ -52,7 +67,7 @@ def resolve_calls(sites: DataFrame, defs: DataFrame) -> DataFrame:
         .join(imported, ["chunk_id", "name"], "left")
     )
     rule = (
-        F.when((F.col("receiver") == "") & F.col("name").isin(*BUILTINS), "builtin").when(F.col("r_n").isNull(), "external").when(F.col("r_n") == 1, "unique")
+        F.when(F.col("name").isin(*BUILTINS), "builtin").when(F.col("r_n").isNull(), "external").when(F.col("r_n") == 1, "unique")
         .when((F.col("receiver") == "self") & (F.col("own") != "") & (F.col("c_n") == 1), "same_class").when(F.col("f_n") == 1, "same_file").when(F.col("i_n") == 1, "import").otherwise("ambiguous")
     )
     dst = F.when(F.col("rule") == "unique", F.col("r_id")).when(F.col("rule") == "same_class", F.col("c_id")).when(F.col("rule") == "same_file", F.col("f_id")).when(F.col("rule") == "import", F.col("i_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.names import extension
 
 # Folders that are never entered.
-EXCLUDED = (".git", ".hg", ".venv", "__pycache__", "build", "dist", "node_modules", "target", "venv", "gen")
+EXCLUDED = (".git", ".venv", "venv", "env", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", ".ruff_cache", "build", "dist", "experiments")
 SUPPORTED = (".java", ".py")
 MAX_BYTES = 500 * 1024
 

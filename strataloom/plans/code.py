@@ -119,17 +119,15 @@ site as (select chunk_id, repo_id, file, coalesce(parent, '') as own, imports, f
     regexp_extract(call, '^{_CALL}', 1) as receiver, regexp_extract(call, '^{_CALL}', 2) as name
   from (select *, unnest(list_distinct(regexp_extract_all(regexp_replace(code, '(?s)^\\s*(?:async )?def\\s+\\w+\\(', ''), '({_CALL})', 1))) as call
     from c where kind in ('function', 'method') and file like '%.py')),
-defs as (select distinct repo_id, regexp_extract(symbol, '([A-Za-z_]\\w*)(?:#\\d+)?$', 1) as name, file, coalesce(parent, '') as parent, file || '::' || regexp_replace(symbol, '#\\d+$', '') as id
-  from c where kind in ('function', 'method') and file like '%.py'),
+defs as (select distinct repo_id, regexp_extract(regexp_replace(symbol, '#\\d+$', ''), '([A-Za-z_]\\w*)$', 1) as name, file, coalesce(parent, '') as parent, symbol, file || '::' || regexp_replace(symbol, '#\\d+$', '') as id
+  from c where kind in ('class', 'function', 'method') and file like '%.py'),
 dr as (select repo_id, name, count(*) n, min(id) id from defs group by all),
 df as (select repo_id, name, file, count(*) n, min(id) id from defs group by all),
 dc as (select repo_id, name, file, parent, count(*) n, min(id) id from defs group by all),
-dm as (select repo_id, name, id, array_to_string(parts[i:], '.') as module from (select *, unnest(range(1, len(parts) + 1)) as i from (
-  select *, string_split(regexp_replace(regexp_replace(replace(regexp_replace(file, '\\.py$', ''), '/', '.'), '\\.__init__$', ''), '^$', ''), '.') as parts from defs))),
-dmc as (select repo_id, name, module, count(*) n, min(id) id from dm group by all),
-di as (select w.chunk_id, w.name, sum(d.n) as n, min(d.id) as id from (select distinct chunk_id, repo_id, name, unnest(imports) as module from site) w join dmc d using (repo_id, name, module) group by 1, 2),
+di as (select w.chunk_id, w.name, count(*) as n, min(d.id) as id from (select distinct chunk_id, repo_id, name, imports from site) w join defs d on d.repo_id = w.repo_id and d.name = w.name
+  where len(list_filter(w.imports, lambda i: regexp_replace(d.file, '\\.py$', '') = replace(i, '.', '/') or ends_with(replace(regexp_replace(d.file, '\\.py$', ''), '/', '.'), '.' || split_part(i, '.', -1)) or ends_with(i, replace(regexp_replace(d.file, '\\.py$', ''), '/', '.')))) > 0 group by 1, 2),
 res as (select s.chunk_id, s.repo_id, s.src, s.receiver, s.name,
-    case when s.receiver = '' and s.name in ({', '.join(repr(b) for b in BUILTINS)}) then 'builtin' when dr.n is null then 'external' when dr.n = 1 then 'unique'
+    case when s.name in ({', '.join(repr(b) for b in BUILTINS)}) then 'builtin' when dr.n is null then 'external' when dr.n = 1 then 'unique'
       when s.receiver = 'self' and s.own <> '' and dc.n = 1 then 'same_class' when df.n = 1 then 'same_file' when di.n = 1 then 'import' else 'ambiguous' end as rule,
     case rule when 'unique' then dr.id when 'same_class' then dc.id when 'same_file' then df.id when 'import' then di.id end as dst
   from site s left join dr on dr.repo_id = s.repo_id and dr.name = s.name left join df on df.repo_id = s.repo_id and df.name = s.name and df.file = s.file
