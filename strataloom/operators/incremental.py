@@ -38,7 +38,7 @@ def prune(stored: DataFrame, valid: DataFrame, key: list[str]) -> DataFrame:
     valid = valid.select(*key).distinct()
     some = valid.limit(1).agg(F.count("*").alias("__some"))  # one row, by construction
     marked = stored.join(valid.withColumn("__valid", F.lit(True)), key, "left").join(F.broadcast(some))
-    return marked.where("__valid or __some = 0").drop("__valid", "__some")
+    return marked.where("__valid or __some = 0").select(*stored.columns)
 
 
 def restore(chunks: DataFrame, files: DataFrame) -> DataFrame:

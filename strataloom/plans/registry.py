@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import code, records, records_general
+from strataloom.plans import code, records, records_general, search
 
-_MODULES = (code, records, records_general)
+_MODULES = (code, records, search, records_general)
 
 
 def queries() -> dict:
