@@ -31,7 +31,7 @@ assignment <- annotated / augmented / plain
 annotated <- ann_target ':' test ('=' (yield / star_list))?
 ann_target <- single_target / '(' single_target ')'
 augmented <- single_target AUG (yield / star_list)
-plain <- (targets '=' !'=')* (yield / star_list) !('=' / AUG / ':')
+plain <- (targets '=')* (yield / star_list) !('=' / AUG / ':')
 targets <- star_target (',' star_target)* ','?
 star_target <- '*' !'*' target / target
 target <- single_target / '(' targets? ')' !trailer_start / '[' targets? ']' !trailer_start
@@ -209,8 +209,12 @@ def _field(text: str, at: int, quote: str) -> tuple[int, list[str]]:
             if i >= len(text):
                 raise LexError(len(text))
             return i + 1, inner
-        elif c in "\r\n" and len(quote) == 1 and depth < 0:
-            raise LexError(i)
+        elif c == "#":
+            if len(quote) == 1:
+                raise LexError(i)
+            while i < len(text) and text[i] not in "\r\n":
+                i += 1
+            continue
         i += 1
     raise LexError(len(text))
 
@@ -328,8 +332,6 @@ def lex(text: str) -> tuple[list[str], list[int], list[str]]:
             if op == "!":
                 raise LexError(at)
             symbols.append(_CLASS.get(op, op))
-    if depth:
-        raise LexError(n)
     if symbols and symbols[-1] != "NEWLINE":
         symbols.append("NEWLINE")
         offsets.append(n)

@@ -51,7 +51,9 @@ DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
 #: Posterior above which a label is kept; tests/llm/test_pair_defects.py validates them on planted defects.
 CUTOFFS = {"empty": 0.5, "copy": 0.5, "refusal": 0.5, "other_language": 0.5, "truncated": 0.5}
 #: Starting points of the label model for each function: how often it fires on defective and on sound pairs.
-_START, _WEIGHT = {"strong": (0.5, 0.002), "weak": (0.7, 0.1)}, 50.0
+_START, _WEIGHT = {"strong": (0.5, 1e-5), "weak": (0.7, 0.1)}, 50.0
+#: Bounds of what is learned: a strong function is one that fires on a sound pair once in 100,000 at most, and a defect may have forms that it alone sees.
+_LEAST_SENSITIVITY, _MOST_FALSE = {"strong": 0.05, "weak": 0.05}, {"strong": 1e-5, "weak": 0.5}
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -136,7 +138,7 @@ def labelling_functions() -> dict[str, list[tuple[str, str, Column]]]:
             ("hanging_sign", "strong", tail.rlike(r"[\p{L}\p{N}`)\]\"'][ ]?[,;:(\[{…/&+=<–—-]+$|\.\.\.$") & tail.rlike(r"\p{L}{3}")),
             ("bare_list_mark", "strong", tail.rlike(r"\n[ \t]*(?:[-*•+]|\d{1,3}[.)])$")),
             ("open_bracket", "strong", (_count(unfenced, r"\(") > _count(unfenced, r"\)")) & (fences % 2 == 0)),
-            ("no_stop", "weak", ~tail.rlike(r"[.!?。！？:)\]}`\"'”»…]$")),
+            ("no_stop", "weak", tail.rlike(r"\p{L}{3}") & ~tail.rlike(r"[.!?。！？:)\]}`\"'”»…]$")),
         ],
     }
     return {d: [(n, k, F.coalesce(c.cast("int"), F.lit(0))) for n, k, c in fs] for d, fs in found.items()}
@@ -163,6 +165,7 @@ def fit_label_model(counts: dict[int, int], kinds: list[str], rounds: int = 200)
     n = np.array([counts[p] for p in patterns.tolist()], dtype=float)
     votes = (patterns[:, None] >> np.arange(len(kinds))) & 1
     sens0, false0 = (np.array([_START[k][i] for k in kinds]) for i in (0, 1))
+    floor, ceiling = np.array([_LEAST_SENSITIVITY[k] for k in kinds]), np.array([_MOST_FALSE[k] for k in kinds])
     sens, false, share = sens0.copy(), false0.copy(), 0.02
     post = np.zeros(len(patterns))
     for _ in range(rounds):
@@ -170,8 +173,8 @@ def fit_label_model(counts: dict[int, int], kinds: list[str], rounds: int = 200)
         down = np.log1p(-share) + votes @ np.log(false) + (1 - votes) @ np.log1p(-false)
         new = 1 / (1 + np.exp(np.clip(down - up, -500, 500)))
         w, v = n * new, n * (1 - new)
-        sens = np.clip((w @ votes + _WEIGHT * sens0) / (w.sum() + _WEIGHT), 1e-4, 1 - 1e-4)
-        false = np.clip((v @ votes + _WEIGHT * false0) / (v.sum() + _WEIGHT), 1e-6, 1 - 1e-4)
+        sens = np.clip((w @ votes + _WEIGHT * sens0) / (w.sum() + _WEIGHT), floor, 1 - 1e-4)
+        false = np.clip((v @ votes + _WEIGHT * false0) / (v.sum() + _WEIGHT), 1e-6, ceiling)
         share = float(np.clip((w.sum() + 1) / (n.sum() + 50), 1e-4, 0.5))
         if np.abs(new - post).max(initial=0) < 1e-9:
             break
