@@ -99,8 +99,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     pieces = pieces.withColumn("start", F.col("part") * F.lit(capacity).cast("long")).withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start")))
     level, done = 0, []
     placed = cut_lineage(_pack(pieces, kind, level, capacity, open_windows))
-    partitions = max(1, pieces.rdd.getNumPartitions())
-    while partitions > 1:
+    while (partitions := placed.where("is_open").select(F.shiftright("container", 32)).distinct().count()) > 1:
         partitions, level = -(-partitions // merged), level + 1
         done.append(placed.where("not is_open"))
         # Containers keep together on their way, so that what already lies together is met together.

@@ -1,12 +1,12 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer.
 
 Texts up to `LONG_CHARS` are encoded where they are read. Longer ones are cut where the
-tokenizer's own pattern always breaks (between a character that is no white space and white
-space), the pieces are spread over the cluster as rows and encoded there, and the document's
-ids are put together by tree concatenation. A stretch without white space that is itself long
-is halved as bytes although the tokenizer would not break there; when its halves are joined,
-the tokens around the join are decoded and encoded again in a window that grows until the new
-tokens agree with the old ones on both sides, so the ids are exactly those of the whole text.
+tokenizer's own pattern breaks, the pieces are spread over the cluster as rows and encoded
+there, and the document's ids are put together again. A stretch that the pattern doesn't split
+and that is itself long is cut although the tokenizer would not break there; its parts are
+joined as a tree, and at each join the tokens around it are decoded and encoded again in a
+window that grows until the new tokens agree with the old ones on both sides, so the ids are
+exactly those of the whole text.
 """
 
 from __future__ import annotations
@@ -48,6 +48,26 @@ class Encoder:
         self.bpe = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.pretokens = regex.compile(PATTERN)
 
+    def piece(self, piece: str, stretch: int) -> list[int]:
+        """Ids of a piece of `_cuts`: of a text, or of a part of one unsplit stretch."""
+        return self.text(piece) if stretch < 0 else self.tree(piece.encode("utf-8", "replace"))
+
+    def together(self, pieces: list[tuple[int, list[int]]]) -> list[int]:
+        """Ids of (stretch, ids) in order: the parts of one stretch are joined as a tree, the rest is laid end to end."""
+        out, i = [], 0
+        while i < len(pieces):
+            stretch, j = pieces[i][0], i + 1
+            while stretch >= 0 and j < len(pieces) and pieces[j][0] == stretch:
+                j += 1
+            out += self.level(list(map(list, (ids for _, ids in pieces[i:j]))))
+            i = j
+        return out
+
+    def level(self, parts: list[list[int]]) -> list[int]:
+        while len(parts) > 1:
+            parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
+
     def text(self, text: str) -> list[int]:
         """Ids of a text without special tokens; lone surrogates count as U+FFFD."""
         if len(text) >= HALF_BYTES and max(map(len, text.split()), default=0) >= HALF_BYTES:
@@ -66,10 +86,7 @@ class Encoder:
 
     def tree(self, raw: bytes) -> list[int]:
         """Ids of one unsplit stretch: halves, each encoded alone, joined level by level."""
-        parts = [self._merge(raw[i : i + HALF_BYTES]) for i in range(0, len(raw), HALF_BYTES)]
-        while len(parts) > 1:
-            parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0]
+        return self.level([self._merge(raw[i : i + HALF_BYTES]) for i in range(0, len(raw), HALF_BYTES)])
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of the bytes of `left` and `right` together.
@@ -95,16 +112,37 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def _cuts(text: str) -> list[str]:
-    """Pieces of a text, cut only before white space that follows something else."""
+def _cuts(text: str, pretokens) -> list[tuple[str, int]]:
+    """Pieces of a long text and, for those that need a join, the number of the stretch they are part of (else -1).
+
+    A text is cut before white space that follows something else. Where that is missing for long,
+    the stretch is cut between pretokens, and a pretoken that is long itself anywhere; only the
+    pieces of such a pretoken depend on each other.
+    """
     import regex
 
-    places, at = [0], 0
     cut = regex.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \t\r\n])")  # white space to every library's mind
-    while (found := cut.search(text, at + PIECE_CHARS)) is not None:
-        at = found.start()
-        places.append(at)
-    return [text[a:b] for a, b in zip(places, [*places[1:], len(text)])]
+    pieces, at, stretch = [], 0, 0
+    while at < len(text):
+        found = cut.search(text, at + PIECE_CHARS)
+        end = found.start() if found else len(text)
+        if end - at <= 2 * PIECE_CHARS:
+            pieces.append((text[at:end], -1))
+        else:
+            begun = at
+            for p in pretokens.finditer(text, at, end):
+                if p.end() - p.start() > PIECE_CHARS:
+                    if begun < p.start():
+                        pieces.append((text[begun : p.start()], -1))
+                    pieces += [(p[0][i : i + PIECE_CHARS], stretch) for i in range(0, len(p[0]), PIECE_CHARS)]
+                    begun, stretch = p.end(), stretch + 1
+                elif p.end() - begun > PIECE_CHARS:
+                    pieces.append((text[begun : p.end()], -1))
+                    begun = p.end()
+            if begun < end:
+                pieces.append((text[begun:end], -1))
+        at = end
+    return pieces
 
 
 def _lists(ids: list[list[int] | None], counts_only: bool) -> pa.Array:
@@ -117,8 +155,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     """`key` and ids (array<int>) of every row; with `counts_only` n_tokens (bigint) instead of ids.
 
     A null text gets null, an empty one an empty list; blank texts are texts. Repeated rows are
-    encoded each; where `key` repeats among long texts, their pieces are told apart by a hash of
-    the text, and equal rows give one row each. An empty table gives an empty result and further
+    encoded each, so equal rows give one row each. An empty table gives an empty result and further
     columns are ignored.
     """
     out, out_type = ("n_tokens", "bigint") if counts_only else ("ids", "array<int>")
@@ -133,23 +170,35 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
             yield pa.RecordBatch.from_arrays([batch.column("__key"), _lists([None if t is None else own.text(t) for t in texts], counts_only)], names=["__key", out])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(vocabulary)
         for batch in batches:
-            for k, row, t in zip(batch.column("__key").to_pylist(), batch.column("__row").to_pylist(), batch.column("__text").to_pylist()):
-                pieces = _cuts(t)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(pieces), batch.schema.field("__key").type), pa.array([row] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], names=["__key", "__row", "seq", "piece"])
+            for k, row, t in zip(*(batch.column(c).to_pylist() for c in ("__key", "__row", "__text"))):
+                pieces, stretches = zip(*_cuts(t, own.pretokens))
+                n = len(pieces)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * n, batch.schema.field("__key").type), pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(stretches, pa.int32()), pa.array(pieces, pa.string())],
+                    names=["__key", "__row", "seq", "stretch", "piece"],
+                )
 
     def pieces_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__row"), batch.column("seq"), _lists([own.text(t) for t in batch.column("piece").to_pylist()], counts_only)], names=["__key", "__row", "seq", out])
+            ids = [own.piece(p, x) for p, x in zip(batch.column("piece").to_pylist(), batch.column("stretch").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__row"), batch.column("seq"), batch.column("stretch"), _lists(ids, False)], names=["__key", "__row", "seq", "stretch", "ids"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(vocabulary)
+        for batch in batches:
+            whole = [own.together([(p["stretch"], p["ids"]) for p in parts]) for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), _lists(whole, counts_only)], names=["__key", out])
 
     done = rows.where(~is_long).mapInArrow(short, f"__key {kind}, {out} {out_type}")
     long_rows = rows.where(is_long).withColumn("__row", F.monotonically_increasing_id())
-    spread = long_rows.mapInArrow(cut, f"__key {kind}, __row bigint, seq int, piece string").repartition("__key", "seq")
-    encoded = spread.mapInArrow(pieces_ids, f"__key {kind}, __row bigint, seq int, {out} {out_type}")
-    # Pieces meet where the pattern breaks, so their ids are simply laid end to end; one row is one document.
-    whole = F.sum("n_tokens") if counts_only else F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ids"))), lambda x: x["ids"]))
-    joined = encoded.groupBy("__key", "__row").agg(whole.alias(out)).drop("__row")
+    spread = long_rows.mapInArrow(cut, f"__key {kind}, __row bigint, seq int, stretch int, piece string").repartition("__key", "seq")
+    encoded = spread.mapInArrow(pieces_ids, f"__key {kind}, __row bigint, seq int, stretch int, ids array<int>")
+    # One group is one row of the input, and its result is one row again.
+    parts = encoded.groupBy("__key", "__row").agg(F.array_sort(F.collect_list(F.struct("seq", "stretch", "ids"))).alias("parts"))
+    joined = parts.select("__key", "parts").mapInArrow(together, f"__key {kind}, {out} {out_type}")
     return done.unionByName(joined).withColumnRenamed("__key", key)
 
 

@@ -32,10 +32,11 @@ def test_long_texts_are_spread_and_joined_exactly(spark, reference, monkeypatch)
     monkeypatch.setattr(tokens, "PIECE_CHARS", 300)
     rng = random.Random(3)
     long = "".join(rng.choice(["word ", "두 단어\n", "x_y(1) ", "\r\n", "  ", "é" * 9, "日本", "'ll "]) for _ in range(3000))
-    df = spark.createDataFrame([(1, long), (2, "z" * 9000), (3, long), (1, long)], "doc_id bigint, text string")
+    unsplit = "".join(rng.choice(["abc", "한국", "12", "--", "'s", "Xyz", "é"]) for _ in range(2000)) + "q" * 2000 + "".join(rng.choice("ab") for _ in range(5000)) + "漢" * 3000
+    df = spark.createDataFrame([(1, long), (2, "z" * 9000), (3, long), (1, long), (4, unsplit), (5, "x " + unsplit + " y")], "doc_id bigint, text string")
     rows = tokens.encode(df, long_chars=200).collect()
-    want = {1: reference(long), 2: reference("z" * 9000), 3: reference(long)}
-    assert len(rows) == 4 and all(r["ids"] == want[r["doc_id"]] for r in rows)
+    want = {1: reference(long), 2: reference("z" * 9000), 3: reference(long), 4: reference(unsplit), 5: reference("x " + unsplit + " y")}
+    assert len(rows) == 6 and all(r["ids"] == want[r["doc_id"]] for r in rows)
     counts = tokens.encode(df, long_chars=200, counts_only=True).collect()
     assert all(r["n_tokens"] == len(want[r["doc_id"]]) for r in counts)
 
