@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.names import BUILTINS
+from strataloom.functions.windows import numbered
 
 CALL = r"(?:([A-Za-z_]\w*)\.)?([A-Za-z_]\w*)\("
 RULES = ("builtin", "external", "unique", "same_class", "same_file", "import", "ambiguous")
@@ -93,9 +94,10 @@ def neighbours(edges: DataFrame, direction: str = "out") -> DataFrame:
 
 def callers(edges: DataFrame, limit: int = 10) -> DataFrame:
     """repo_id, dst, n_callers and callers: the first `limit` in order, joined by a comma."""
-    ranked = edges.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id", "dst").orderBy("src")))
-    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= limit, F.col("src"))))
-    return ranked.groupBy("repo_id", "dst").agg(F.count("*").alias("n_callers"), F.array_join(first, ",").alias("callers"))
+    # The limit on the rank keeps all but the first callers of a task out of the shuffle; the count needs no list.
+    first = edges.withColumn("rank", numbered(Window.partitionBy("repo_id", "dst").orderBy("src"))).where(F.col("rank") <= limit)
+    shown = first.groupBy("repo_id", "dst").agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("callers"))
+    return edges.groupBy("repo_id", "dst").agg(F.count("*").alias("n_callers")).join(shown, ["repo_id", "dst"])
 
 
 def enclosing_symbols(chunks: DataFrame, points: DataFrame) -> DataFrame:
@@ -107,4 +109,4 @@ def enclosing_symbols(chunks: DataFrame, points: DataFrame) -> DataFrame:
     spans = chunks.where(F.col("kind").isin("function", "method", "class")).select("repo_id", "file", "symbol", "start_line", "end_line").distinct()
     lines = spans.where("end_line >= start_line").select("repo_id", "file", F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "start_line", "symbol").alias("s"), F.explode(F.sequence("start_line", "end_line")).alias("line"))
     inner = points.select("repo_id", "file", "line").distinct().join(lines, ["repo_id", "file", "line"]).groupBy("repo_id", "file", "line").agg(F.min("s").alias("s"))
-    return inner.select("repo_id", "file", "line", F.col("s.symbol").alias("symbol"))
+    return inner.select("repo_id", "file", F.col("line").cast("bigint").alias("line"), F.col("s.symbol").alias("symbol"))

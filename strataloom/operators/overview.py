@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.names import is_test_path
+from strataloom.functions.windows import rank_within
 
 # File names of entry points, and parts of names that speak against one.
 ENTRY_FILES = ("__main__.py", "main.py", "cli.py", "app.py", "manage.py")
@@ -34,8 +35,7 @@ def entry_points(files: DataFrame) -> DataFrame:
     evidence = F.when(java, "main method").when(python, "main block").when(name.isin(*ENTRY_FILES), "file name")
     found = files.groupBy("repo_id", "path").agg(F.max("content").alias("content")).withColumn("evidence", evidence).where("evidence is not null")
     weak = F.lower(name).rlike("|".join(NON_ENTRY))
-    order = Window.partitionBy("repo_id").orderBy(weak, F.contains("path", F.lit("/")), "path")
-    return found.withColumn("place", F.row_number().over(order)).select("repo_id", "path", "evidence", "place")
+    return rank_within(found, ["repo_id"], [weak, F.contains("path", F.lit("/")), "path"], "place").select("repo_id", "path", "evidence", "place")
 
 
 def flow_ranking(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def flow_ranking(edges: DataFrame) -> DataFrame:
     ins = edges.groupBy("repo_id", F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n_in"))
     both = outs.where("n_out >= 2").join(ins, ["repo_id", "id"], "left").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
     kept = both.where(~F.col("id").rlike(r"__\w+__$") & ~is_test_path(F.substring_index("id", "::", 1)))
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc(F.col("n_out") + F.col("n_in")), "id")))
+    return rank_within(kept, ["repo_id"], [F.desc(F.col("n_out") + F.col("n_in")), "id"], "place")
 
 
 def file_ranking(chunks: DataFrame) -> DataFrame:
@@ -53,13 +53,13 @@ def file_ranking(chunks: DataFrame) -> DataFrame:
     main = files.groupBy("repo_id").agg(F.min_by("file", F.struct((-F.col("lines")).alias("l"), "file")).alias("file"))
     counted = chunks.where(F.col("kind").isin("class", "method", "function")).groupBy("repo_id", "file").agg(F.count("*").alias("n_symbols"))
     kept = counted.where(~is_test_path(F.col("file"))).join(main, ["repo_id", "file"], "left_anti")
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("n_symbols"), "file")))
+    return rank_within(kept, ["repo_id"], [F.desc("n_symbols"), "file"], "place")
 
 
 def dependency_ranking(deps: DataFrame) -> DataFrame:
     """repo_id, dep, n_files, place of the third-party dependencies."""
     third = deps.where("source = 'third_party' and dep is not null").select("repo_id", "dep", "n_files")
-    return third.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("n_files"), "dep")))
+    return rank_within(third, ["repo_id"], [F.desc("n_files"), "dep"], "place")
 
 
 def interleave(flows: DataFrame, deps: DataFrame, files: DataFrame, size: int = 5) -> DataFrame:
@@ -71,8 +71,7 @@ def interleave(flows: DataFrame, deps: DataFrame, files: DataFrame, size: int =
         files.select("repo_id", at.cast("bigint").alias("cycle"), F.lit(3).alias("slot"), F.lit("file").alias("family"), F.col("file").alias("item")),
     ]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    number = F.row_number().over(Window.partitionBy("repo_id").orderBy("cycle", "slot"))
-    return every.withColumn("number", number).select("repo_id", "number", (F.floor((F.col("number") - 1) / size) + 2).alias("set_no"), "family", "item")
+    return rank_within(every, ["repo_id"], ["cycle", "slot"], "number").select("repo_id", "number", (F.floor((F.col("number") - 1) / size) + 2).alias("set_no"), "family", "item")
 
 
 def screening(chunks: DataFrame, files: DataFrame) -> DataFrame:

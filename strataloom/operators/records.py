@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.names import clamp_score
+from strataloom.functions.windows import numbered, rank_within
 
 VERDICTS = ("confirmed", "contradicted", "unverifiable")
 
@@ -97,14 +98,14 @@ def history_text(asks: DataFrame, chain: DataFrame) -> DataFrame:
 
 def numbered_questions(questions: DataFrame, size: int = 5) -> DataFrame:
     """id, repo_id, number within the repository (by ordinal and id) and the set of `size` it falls into."""
-    number = F.row_number().over(Window.partitionBy("repo_id").orderBy("ordinal", "id"))
-    return questions.select("id", "repo_id", number.alias("number")).withColumn("set_no", F.floor((F.col("number") - 1) / size) + 1)
+    ordered = rank_within(questions.select("id", "repo_id", "ordinal"), ["repo_id"], ["ordinal", "id"], "number")
+    return ordered.select("id", "repo_id", "number").withColumn("set_no", F.floor((F.col("number") - 1) / size) + 1)
 
 
 def newest_asks(asks: DataFrame, per_repo: int = 3) -> DataFrame:
     """repo_id, rank, id of the newest asks of each repository by their UTC time (top-k report)."""
     made = F.try_to_timestamp(F.replace(F.col("created_at"), F.lit("T"), F.lit(" ")))
-    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("made"), F.desc("id")))
+    rank = numbered(Window.partitionBy("repo_id").orderBy(F.desc("made"), F.desc("id")))
     return asks.withColumn("made", made).withColumn("rank", rank).where(F.col("rank") <= per_repo).select("repo_id", "rank", "id")
 
 

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.names import identifiers
+from strataloom.functions.windows import numbered
 
 #: Vectors of one block: what a task holds of either side at once.
 QUERY_BLOCK, BASE_BLOCK = 1024, 65_536
@@ -57,7 +59,7 @@ def vector_topk(queries: DataFrame, base: DataFrame, key: str = "vec_id", vector
         return pd.concat(out, ignore_index=True)
 
     local = q.groupBy("__q", "__b").cogroup(b.groupBy("__q", "__b")).applyInPandas(pairs, f"query long, __key long, distance double{group_type}")
-    rank = F.row_number().over(Window.partitionBy("query", *extra).orderBy("distance", "__key"))
+    rank = numbered(Window.partitionBy("query", *extra).orderBy("distance", "__key"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", F.col("__key").alias(key), "distance", *extra)
 
 
@@ -76,7 +78,7 @@ def quota_union(ranked: DataFrame, all_kinds: DataFrame, key: str = "vec_id", ki
     for s in stages[1:]:
         every = every.unionByName(s)
     first = every.groupBy("query", key).agg(F.min(F.struct("stage", "rank")).alias("at"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy("at", key))
+    place = numbered(Window.partitionBy("query").orderBy("at", key))
     return first.withColumn("place", place).where(F.col("place") <= k).select("query", "place", key)
 
 
@@ -89,7 +91,7 @@ def identifier_hits(questions: DataFrame, chunks: DataFrame, limit: int = 3) ->
     wanted = asked.select("repo_id", "identifier").distinct()
     words = chunks.where("kind <> 'file'").select("chunk_id", "repo_id", F.explode(F.regexp_extract_all("code", F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))).alias("identifier"))
     counted = words.groupBy("chunk_id", "repo_id", "identifier").agg(F.count("*").alias("n")).join(wanted, ["repo_id", "identifier"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("repo_id", "identifier").orderBy(F.desc("n"), "chunk_id"))
+    rank = numbered(Window.partitionBy("repo_id", "identifier").orderBy(F.desc("n"), "chunk_id"))
     best = counted.withColumn("rank", rank).where(F.col("rank") <= limit)
     return asked.join(best, ["repo_id", "identifier"]).select("id", "identifier", "rank", "chunk_id", "n")
 
@@ -112,18 +114,16 @@ def mentioned_files(texts: DataFrame, files: DataFrame, text: str = "body") -> D
     whole = named.join(paths.withColumn("name", F.col("path")), ["repo_id", "name"])
     base = paths.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)).groupBy("repo_id", "name").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1").drop("n")
     found = whole.unionByName(named.join(base, ["repo_id", "name"])).groupBy("id", "path").agg(F.min("pos").alias("pos"))
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("pos", "path"))).select("id", "place", "path")
+    return found.withColumn("place", numbered(Window.partitionBy("id").orderBy("pos", "path"))).select("id", "place", "path")
 
 
 def mentioned_symbols(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """id, symbol: symbols of the repository whose last part a question names, without those inside a longer hit."""
     asked = questions.select("id", "repo_id", F.explode(F.array_distinct(F.regexp_extract_all("question", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("leaf"))
     defs = chunks.where(F.col("kind").isin("class", "method", "function")).select("repo_id", F.regexp_extract(F.regexp_replace("symbol", r"#\d+$", ""), r"([A-Za-z_]\w*)$", 1).alias("leaf")).distinct()
-    hits = asked.join(defs, ["repo_id", "leaf"]).select("id", "leaf")
-    # Two hits of one question overlap seldom: a question names a handful of symbols.
-    other = hits.select("id", F.col("leaf").alias("longer"))
-    inside = hits.join(other, "id").where(F.contains("longer", F.col("leaf")) & (F.col("longer") != F.col("leaf"))).select("id", "leaf").distinct()
-    return hits.join(inside, ["id", "leaf"], "left_anti").select("id", F.col("leaf").alias("symbol"))
+    named = asked.join(defs, ["repo_id", "leaf"]).groupBy("id").agg(F.collect_set("leaf").alias("names"))
+    alone = F.filter("names", lambda x: ~F.exists("names", lambda y: (y != x) & F.contains(y, x)))  # one question names few symbols
+    return named.select("id", F.explode(alone).alias("symbol"))
 
 
 def validated_picks(picks: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -134,7 +134,7 @@ def validated_picks(picks: DataFrame, candidates: DataFrame, k: int) -> DataFram
     chosen = picks.join(candidates.withColumnRenamed("rank", "pick"), ["query", "pick"]).groupBy("query", "item").agg(F.min(F.struct(F.lit(0).alias("stage"), F.col("pos").cast("long").alias("at"))).alias("o"))
     rest = candidates.select("query", "item", F.struct(F.lit(1).alias("stage"), F.col("rank").cast("long").alias("at")).alias("o"))
     first = chosen.unionByName(rest).groupBy("query", "item").agg(F.min("o").alias("o"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("o", "item"))).where(F.col("place") <= k).select("query", "place", "item")
+    return first.withColumn("place", numbered(Window.partitionBy("query").orderBy("o", "item"))).where(F.col("place") <= k).select("query", "place", "item")
 
 
 def union_evidence(hits: DataFrame, k: int) -> DataFrame:
@@ -144,20 +144,27 @@ def union_evidence(hits: DataFrame, k: int) -> DataFrame:
     The fold is stateful and runs by query, whose hits a search has bounded.
     """
 
-    def fold(hits: pd.DataFrame) -> pd.DataFrame:
+    def fold(hits: list[dict]) -> list[int]:
         seen, kept = set(), []
-        for h in hits.sort_values(["stage", "rank"]).itertuples():
-            if h.chunk_id in seen or len(kept) >= ((k + 1) // 2 if h.stage == 0 else k):
+        for h in hits:
+            if h["chunk_id"] in seen or len(kept) >= ((k + 1) // 2 if h["stage"] == 0 else k):
                 continue
-            seen.add(h.chunk_id)
-            code = [x for x in kept if x.file == h.file and x.kind != "file" and h.kind != "file"]
-            if any(x.start_line <= h.start_line and h.end_line <= x.end_line for x in code):
+            seen.add(h["chunk_id"])
+            code = [x for x in kept if x["file"] == h["file"] and x["kind"] != "file" and h["kind"] != "file"]
+            if any(x["start_line"] <= h["start_line"] and h["end_line"] <= x["end_line"] for x in code):
                 continue
-            inner = {x.chunk_id for x in code if h.start_line <= x.start_line and x.end_line <= h.end_line}
-            kept = [x for x in kept if x.chunk_id not in inner] + [h]
-        return pd.DataFrame({"query": hits["query"].iloc[0], "place": np.arange(1, len(kept) + 1), "chunk_id": [x.chunk_id for x in kept]})
+            inner = {x["chunk_id"] for x in code if h["start_line"] <= x["start_line"] and x["end_line"] <= h["end_line"]}
+            kept = [x for x in kept if x["chunk_id"] not in inner] + [h]
+        return [x["chunk_id"] for x in kept]
 
-    return hits.groupBy("query").applyInPandas(fold, "query long, place long, chunk_id long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(q, i, c) for q, hits in zip(batch.column("query").to_pylist(), batch.column("hits").to_pylist()) for i, c in enumerate(fold(hits), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*rows) if rows else ([], [], []))], names=["query", "place", "chunk_id"])
+
+    columns = ("stage", "rank", "chunk_id", "file", "kind", "start_line", "end_line")
+    lists = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("hits"))
+    return lists.select(F.col("query").cast("long").alias("query"), "hits").mapInArrow(run, "query long, place long, chunk_id long")
 
 
 def embed_hashed(texts: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.names import extension
+from strataloom.functions.windows import numbered
 
 # Folders that are never entered.
 EXCLUDED = (".git", ".venv", "venv", "env", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", ".ruff_cache", "build", "dist", "experiments")
@@ -44,6 +45,6 @@ def extension_counts(files: DataFrame, by: tuple[str, ...] = ("repo_id",)) -> Da
 def fold_counts(counts: DataFrame, top: int = 5, by: tuple[str, ...] = ("repo_id",)) -> DataFrame:
     """The `top` most frequent extensions by group and one row `other` for the rest; a rest of one is not folded."""
     w = Window.partitionBy(*by)
-    ranked = counts.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "ext"))).withColumn("kinds", F.count("*").over(w))
+    ranked = counts.withColumn("rank", numbered(w.orderBy(F.desc("n"), "ext"))).withColumn("kinds", F.count("*").over(w))
     shown = F.when((F.col("rank") <= top) | (F.col("kinds") == top + 1), F.col("ext")).otherwise("other")
     return ranked.groupBy(*by, shown.alias("ext")).agg(F.sum("n").alias("n"))

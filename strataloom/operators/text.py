@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.functions.windows import numbered
+
 
 def markdown_sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, section, title, start_line, end_line of Markdown texts.
@@ -16,9 +18,9 @@ def markdown_sections(documents: DataFrame, key: str = "doc_id", text: str = "te
     w = Window.partitionBy(key).orderBy("pos")
     fences = F.sum(F.when(F.col("line").rlike(r"^\s*```"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = lines.withColumn("fences", fences).withColumn("head", (F.col("fences") % 2 == 0) & F.col("line").rlike(r"^##? \S"))
-    numbered = marked.withColumn("section", F.sum(F.col("head").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    sections = numbered.groupBy(key, "section").agg(
-        F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", "^##? ", "")))).alias("title"), (F.min("pos") + 1).alias("start_line"), (F.max("pos") + 1).alias("end_line"),
+    cut = marked.withColumn("section", F.sum(F.col("head").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sections = cut.groupBy(key, "section").agg(
+        F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", "^##? ", "")))).alias("title"), (F.min("pos") + 1).cast("bigint").alias("start_line"), (F.max("pos") + 1).cast("bigint").alias("end_line"),
         F.max((F.length(F.trim("line")) > 0).cast("int")).alias("filled"),
     )
     return sections.where("filled = 1").select(key, "section", "title", "start_line", "end_line")
@@ -40,9 +42,9 @@ def section_keywords(documents: DataFrame, key: str = "doc_id", text: str = "tex
 def occurrence_numbers(chunks: DataFrame) -> DataFrame:
     """chunk_id and numbered: the symbol, from its second occurrence in a file on with # and its number."""
     base = F.regexp_replace("symbol", r"#\d+$", "")
-    number = F.row_number().over(Window.partitionBy("repo_id", "file", "base").orderBy("start_line", "chunk_id"))
-    numbered = chunks.where(F.col("kind").isin("class", "method", "function")).withColumn("base", base).withColumn("number", number)
-    return numbered.select("chunk_id", F.when(F.col("number") > 1, F.concat("base", F.lit("#"), F.col("number").cast("string"))).otherwise(F.col("base")).alias("numbered"))
+    number = numbered(Window.partitionBy("repo_id", "file", "base").orderBy("start_line", "chunk_id"))
+    symbols = chunks.where(F.col("kind").isin("class", "method", "function")).withColumn("base", base).withColumn("number", number)
+    return symbols.select("chunk_id", F.when(F.col("number") > 1, F.concat("base", F.lit("#"), F.col("number").cast("string"))).otherwise(F.col("base")).alias("numbered"))
 
 
 def file_chunks(chunks: DataFrame) -> DataFrame:
@@ -72,8 +74,9 @@ def context_block(chunks: DataFrame) -> DataFrame:
 
 def names_line(groups: DataFrame, by: list[str], name: str, shown: int = 6) -> DataFrame:
     """by and line: the first `shown` names in order, and how many more there are."""
-    ranked = groups.select(*by, name).distinct().withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(name)))
-    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= shown, F.col(name))))
-    rows = ranked.groupBy(*by).agg(first.alias("first"), F.count("*").alias("n"))
+    names = groups.select(*by, name).distinct()
+    first = names.withColumn("rank", numbered(Window.partitionBy(*by).orderBy(name))).where(F.col("rank") <= shown)
+    lists = first.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("first"))
+    rows = names.groupBy(*by).agg(F.count("*").alias("n")).join(lists, by)
     more = F.when(F.col("n") > shown, F.concat(F.lit(" and "), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise("")
-    return rows.select(*by, F.concat(F.array_join("first", ", "), more).alias("line"))
+    return rows.select(*by, F.concat("first", more).alias("line"))

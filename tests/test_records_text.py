@@ -85,3 +85,17 @@ def test_assembly(spark):
     assert rows(text.file_chunks(chunks)) == [(1, "f", 4, "A, A.m, g, g\nsa / sg")]
     many = spark.createDataFrame([(1, f"n{i}") for i in range(8)] + [(2, "x")], "repo_id bigint, symbol string")
     assert dict(rows(text.names_line(many, ["repo_id"], "symbol"))) == {1: "n0, n1, n2, n3, n4, n5 and 2 more", 2: "x"}
+
+
+def test_ranks_within_hot_groups(spark):
+    from pyspark.sql import functions as F
+
+    from strataloom.functions.windows import rank_within
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") == 1, None).otherwise(F.concat(F.lit("g"), (F.col("id") % 40).cast("string"))).alias("g"), (F.col("id") * 7919 % 3001).alias("v"), "id").repartition(7)
+    got = rank_within(df, ["g"], [F.desc("v"), "id"], "n").collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["g"], []).append((-r["v"], r["id"], r["n"]))
+    assert len(got) == 3000 and all([x[2] for x in sorted(g)] == list(range(1, len(g) + 1)) for g in groups.values())
+    assert rank_within(df.limit(0), ["g"], ["id"], "n").count() == 0
