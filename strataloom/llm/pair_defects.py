@@ -9,6 +9,7 @@ is kept as a label.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -41,10 +42,21 @@ REFUSALS = (
     r"no lo sé|no sé|lo siento|no puedo|no me es posible|no tengo (?:acceso|idea|permitido)|prefiero no|no estoy (?:autorizado|seguro)|me niego|no dispongo",
     r"je ne sais pas|désolé|je ne peux pas|je ne suis pas|préfère ne pas|impossible de répondre|m'est impossible|aucune idée|je n'ai pas (?:accès|le droit)|je refuse|je regrette",
 )
-REFUSAL = "(?iu)" + "|".join(f"(?:{p})" for p in REFUSALS)
-APOLOGY = r"(?iu)\b(?:sorry|unfortunately|afraid|honestly|please ask|anything else you would like|ask someone|désolé|merci de demander|lo siento|pregunte a|es tut mir leid|leider|bitte fragen sie)\b|죄송|다른 질문을 해 주세요|모르겠"
+APOLOGIES = r"\b(?:sorry|unfortunately|afraid|honestly|please ask|anything else you would like|ask someone|désolé|merci de demander|lo siento|pregunte a|es tut mir leid|leider|bitte fragen sie)\b|죄송|다른 질문을 해 주세요|모르겠"
 
-CONTRAST = r"(?iu)\b(?:but|though|although|however|yet|still|aber|jedoch|allerdings|pero|aunque|mais|cependant|toutefois)\b|지만|그러나|다만"
+# Words of which every Latin phrase above has one, so that other texts needn't be searched for the phrases.
+REFUSAL_WORDS = """can cannot couldn could won don decline refuse unable able pass rather prefer haven have never sorry afraid allowed permitted sure familiar position looked idea clue area comment help outside guidelines policy language
+scope say tell skip unfortunately unknown appropriate right proper possible comfortable liberty ich beantworten helfen auskunft ahnung leider darf zugriff befugt sé siento puedo posible tengo prefiero estoy niego dispongo sais désolé peux suis préfère impossible aucune
+refuse regrette will access""".split()
+CONTRAST = r"\b(?:but|though|although|however|yet|still|aber|jedoch|allerdings|pero|aunque|mais|cependant|toutefois)\b|지만|그러나|다만"
+
+
+def _lowered(pattern: str) -> str:
+    """A pattern for lower-cased text: matching without regard to case is slow."""
+    return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
+
+
+REFUSAL, APOLOGY = "|".join(f"(?:{_lowered(p)})" for p in REFUSALS), _lowered(APOLOGIES)
 
 #: Defects in the order in which one is chosen where a record may have one only.
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
@@ -60,10 +72,6 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _words(words: str) -> str:
-    return r"(?iu)(?<![\p{L}\p{N}_'])(?:" + "|".join(words.split()) + r")(?![\p{L}\p{N}_])"
-
-
 def _prose(text: Column) -> Column:
     """Text without code, quotations, addresses and names from code."""
     steps = [r"(?s)```.*?(?:```|$)", r"`[^`\n]*`?", r'"[^"\n]*"', r"[“«„][^”»“\n]*[”»“]", r"(?m)^>.*$", r"\b[\w.-]+(?:/[\w.-]+)+", r"\b\w*(?:_\w+|[a-z][A-Z]\w*)\b", r"<[^>]{0,200}>", r"[\d_]+"]
@@ -72,7 +80,8 @@ def _prose(text: Column) -> Column:
 
 def _names(text: Column) -> Column:
     """Names and numbers that inform: in backticks, paths, names with underscore or inner capital, numbers."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z][\w.-]*(?:/[\w.-]+)+|\w*[A-Za-z]\w*_\w+|[A-Za-z]*[a-z][A-Z]\w*|\d{2,})"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\w.-]+(?:/[\w.-]+)+|\w+)"), F.lit(1)))
+    return F.filter(words, lambda t: t.rlike(r"[_/]|[a-z][A-Z]|\d{2}"))
 
 
 def _bare(text: Column) -> Column:
@@ -81,14 +90,10 @@ def _bare(text: Column) -> Column:
 
 def labelling_functions() -> dict[str, list[tuple[str, str, Column]]]:
     """Of each defect (name, kind, column of 0 or 1) over the columns that `_prepared` adds."""
-    a, q, col = F.col("__a"), F.col("__q"), F.col
-    seen = F.regexp_replace(F.coalesce(a, F.lit("")), r"[\s\p{Z}\p{C}]+", " ")
-    plain = F.regexp_replace(seen, r"<[^>]{0,200}>|&nbsp;", "")
-    tail = F.regexp_replace(F.coalesce(a, F.lit("")), r"[\s\p{Z}\p{C}]+$", "")
-    fences = _count(tail, "```")
-    ticks = F.length(F.regexp_replace(tail, r"(?s)```.*?```|[^`]", ""))
-    unfenced = F.regexp_replace(tail, r"(?s)```.*?```|`[^`\n]*`", " ")
-    open_end = ~tail.rlike(r"[`)\]}>\"'”»]$")
+    col = F.col
+    fences = _count(col("__tail"), "```")
+    ticks = F.length(F.regexp_replace("__tail", r"(?s)```.*?```|[^`]+", ""))
+    open_end = ~col("__tail").rlike(r"[`)\]}>\"'”»]$")
     left = F.when(F.length("__bq") >= 8, F.replace(col("__ba"), col("__bq"), F.lit("")))
     held = F.coalesce(F.length(col("__ba")) - F.length(left), F.lit(0)) > 0
     label = "^(?:" + "|".join(sorted(LABELS, key=len, reverse=True)) + ")*$"
@@ -97,20 +102,21 @@ def labelling_functions() -> dict[str, list[tuple[str, str, Column]]]:
     best = F.greatest(*(col(f"__a_{x}") for x in langs))
     own = F.coalesce(*(F.when(col("__lang") == x, col(f"__a_{x}")) for x in langs), F.lit(0))
     latin = col("__lang").isin(*langs)
-    letters, hangul = F.length(F.regexp_replace(col("__pa"), r"[^\p{L}]", "")), F.length(F.regexp_replace(col("__pa"), r"[^가-힣]", ""))
-    foreign = reduce(lambda x, y: x | y, ((col("__lang") != x) & (_count(col("__pa"), f"(?iu)[{own_letters}]") >= 2) for x, own_letters in OWN_LETTERS.items()))
-    foreign_home = reduce(lambda x, y: x | y, ((col("__lang") == x) & (_count(col("__pa"), f"(?iu)[{own_letters}]") >= 1) for x, own_letters in OWN_LETTERS.items()))
-    new_names = F.size(F.array_except(_names(a), F.coalesce(_names(q), F.array().cast("array<string>"))))
-    informs = F.coalesce(new_names, F.lit(0)) > 0
-    hit = F.regexp_like(F.coalesce(col("__pa"), F.lit("")), F.lit(REFUSAL))
-    sentences = F.filter(F.split(F.coalesce(col("__pa"), F.lit("")), r"[.!?。\n]+"), lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", "")) > 1)
+    letters, hangul = col("__letters"), col("__hangul")
+    foreign = reduce(lambda x, y: x | y, ((col("__lang") != x) & (col(f"__m_{x}") >= 2) for x in OWN_LETTERS))
+    home = reduce(lambda x, y: x | y, ((col("__lang") == x) & (col(f"__m_{x}") >= 1) for x in OWN_LETTERS))
+    informs = col("__informs")
+    sentences = F.filter(F.split("__la", r"[.!?。\n]+"), lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", "")) > 1)
     others = F.size(F.filter(sentences, lambda x: ~(F.regexp_like(x, F.lit(REFUSAL)) | F.regexp_like(x, F.lit(APOLOGY)))))
+    hit = col("__hit")
+    throughout = F.when(hit, (others == 0) & ~(F.regexp_like(col("__la"), F.lit(CONTRAST)) & informs)).otherwise(F.lit(False))
+    short = ~informs & (letters > 3) & (letters < 160)
     found = {
         "empty": [
-            ("blank", "strong", F.length(F.trim(seen)) == 0),
-            ("no_letters", "strong", ~plain.rlike(r"[\p{L}\p{N}]")),
-            ("placeholder", "strong", F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", "").isin(*PLACEHOLDERS)),
-            ("tiny", "weak", F.length(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "")) < 4),
+            ("blank", "strong", F.length(F.trim("__seen")) == 0),
+            ("no_letters", "strong", ~col("__plain").rlike(r"[\p{L}\p{N}]")),
+            ("placeholder", "strong", F.when(F.length("__plain") < 40, F.regexp_replace(F.lower("__plain"), r"[^\p{L}\p{N}]+", "").isin(*PLACEHOLDERS)).otherwise(F.lit(False))),
+            ("tiny", "weak", F.when(F.length("__plain") < 40, F.length(F.regexp_replace("__plain", r"[^\p{L}\p{N}]+", "")) < 4).otherwise(F.lit(False))),
         ],
         "copy": [
             ("same", "strong", (F.length("__bq") > 0) & (col("__ba") == col("__bq"))),
@@ -120,34 +126,48 @@ def labelling_functions() -> dict[str, list[tuple[str, str, Column]]]:
         ],
         "refusal": [
             ("says_so", "strong", hit & ~informs),
-            ("declines_throughout", "strong", hit & (others == 0) & ~(F.regexp_like(col("__pa"), F.lit(CONTRAST)) & informs)),
-            ("apologizes_only", "strong", F.regexp_like(F.coalesce(col("__pa"), F.lit("")), F.lit(APOLOGY)) & ~informs),
+            ("declines_throughout", "strong", throughout),
+            ("apologizes_only", "strong", F.when(~informs, F.regexp_like(col("__la"), F.lit(APOLOGY))).otherwise(F.lit(False))),
             ("phrase", "weak", hit),
-            ("short_without_names", "weak", ~informs & (letters > 3) & (letters < 160)),
+            ("short_without_names", "weak", short),
         ],
         "other_language": [
             ("other_script", "strong", (latin & (hangul > 0.3 * letters) & (letters >= 6)) | ((col("__lang") == "ko") & (hangul == 0) & (best >= 2))),
             ("other_words", "strong", latin & (best >= own + 2) & (own <= 0.5 * best)),
             ("few_own_words", "weak", ((latin & (own <= 0.34 * total) & (best >= 2)) | ((col("__lang") == "ko") & (hangul < 0.1 * letters) & (letters >= 12)))),
-            ("other_letters", "weak", (latin & foreign & ~foreign_home) | ((col("__lang") == "ko") & foreign)),
+            ("other_letters", "weak", (latin & foreign & ~home) | ((col("__lang") == "ko") & foreign)),
         ],
         "truncated": [
             ("open_fence", "strong", fences % 2 == 1),
             ("open_backtick", "strong", (fences % 2 == 0) & (ticks % 2 == 1)),
-            ("inside_word_or_sentence", "strong", open_end & tail.rlike(r"[\p{L}\p{N}_]$") & (_count(tail, r"[\p{L}\p{N}]+") >= 2)),
-            ("hanging_sign", "strong", tail.rlike(r"[\p{L}\p{N}`)\]\"'][ ]?[,;:(\[{…/&+=<–—-]+$|\.\.\.$") & tail.rlike(r"\p{L}{3}")),
-            ("bare_list_mark", "strong", tail.rlike(r"\n[ \t]*(?:[-*•+]|\d{1,3}[.)])$")),
-            ("open_bracket", "strong", (_count(unfenced, r"\(") > _count(unfenced, r"\)")) & (fences % 2 == 0)),
-            ("no_stop", "weak", tail.rlike(r"\p{L}{3}") & ~tail.rlike(r"[.!?。！？:)\]}`\"'”»…]$")),
+            ("inside_word_or_sentence", "strong", open_end & col("__tail").rlike(r"[\p{L}\p{N}_]$") & col("__tail").rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]")),
+            ("hanging_sign", "strong", col("__tail").rlike(r"(?:[\p{L}\p{N}`)\]\"'][ ]?[,;:(\[{…/&+=<–—-]{1,9}|\.\.\.)$") & col("__tail").rlike(r"\p{L}{3}")),
+            ("bare_list_mark", "strong", col("__tail").rlike(r"\n[ \t]*(?:[-*•+]|\d{1,3}[.)])$")),
+            ("open_bracket", "strong", (F.length(F.regexp_replace("__unfenced", r"[^(]+", "")) > F.length(F.regexp_replace("__unfenced", r"[^)]+", ""))) & (fences % 2 == 0)),
+            ("no_stop", "weak", col("__tail").rlike(r"\p{L}{3}") & ~col("__tail").rlike(r"[.!?。！？:)\]}`\"'”»…]$")),
         ],
     }
     return {d: [(n, k, F.coalesce(c.cast("int"), F.lit(0))) for n, k, c in fs] for d, fs in found.items()}
 
 
+def _is_in(words: list[str]):
+    return lambda word: word.isin(*words)
+
+
 def _prepared(pairs: DataFrame) -> DataFrame:
-    q, a = F.col("__q"), F.col("__a")
-    df = pairs.withColumns({"__pa": _prose(a), "__pq": _prose(q), "__bq": F.coalesce(_bare(q), F.lit("")), "__ba": F.coalesce(_bare(a), F.lit(""))})
-    df = df.withColumns({f"__{s}_{x}": F.coalesce(_count(F.col(f"__p{s}"), _words(w)), F.lit(0)) for s in "aq" for x, w in STOPWORDS.items()})
+    """Pairs with what several functions look at, each computed once."""
+    q, a = F.col("__q"), F.coalesce("__a", F.lit(""))
+    blank = r"[\s\p{Z}\p{C}]+"
+    df = pairs.withColumns({"__pa": _prose(a), "__pq": _prose(F.coalesce(q, F.lit(""))), "__bq": F.coalesce(_bare(q), F.lit("")), "__ba": _bare(a), "__seen": F.regexp_replace(a, blank, " ")})
+    df = df.withColumns({
+        "__la": F.lower("__pa"), "__lq": F.lower("__pq"), "__plain": F.regexp_replace("__seen", r"<[^>]{0,200}>|&nbsp;", ""), "__tail": F.regexp_replace(F.rtrim(a), r"[\s\p{Z}\p{C}]+$", ""),
+        "__letters": F.length(F.regexp_replace("__pa", r"[^\p{L}]+", "")), "__hangul": F.length(F.regexp_replace("__pa", r"[^가-힣]+", "")),
+        "__informs": F.size(F.array_except(_names(a), F.coalesce(_names(q), F.array().cast("array<string>")))) > 0,
+    })
+    df = df.withColumns({"__unfenced": F.regexp_replace("__tail", r"(?s)```.*?```|`[^`\n]*`", " "), **{f"__w{s}": F.split(f"__l{s}", r"[^\p{L}]+") for s in "aq"}, **{f"__m_{x}": F.length(F.regexp_replace("__la", f"[^{o}]+", "")) for x, o in OWN_LETTERS.items()}})
+    worth = (F.col("__hangul") > 0) | F.exists("__wa", _is_in(sorted(set(REFUSAL_WORDS))))
+    df = df.withColumn("__hit", F.when(worth, F.regexp_like(F.col("__la"), F.lit(REFUSAL))).otherwise(F.lit(False)))
+    df = df.withColumns({f"__{s}_{x}": F.size(F.filter(f"__w{s}", _is_in(w.split()))) for s in "aq" for x, w in STOPWORDS.items()})
     best = F.greatest(*(F.col(f"__q_{x}") for x in STOPWORDS))
     lang = F.when(F.col("__pq").rlike("[가-힣]"), "ko")
     for x in STOPWORDS:
@@ -185,15 +205,17 @@ def fit_label_model(counts: dict[int, int], kinds: list[str], rounds: int = 200)
 def label_pairs(pairs: DataFrame, key: list[str], question: str = "question", answer: str = "answer", cutoffs: dict[str, float] | None = None) -> DataFrame:
     """key columns, labels (array of defects, in the order of `DEFECTS`) and posteriors (map) of each record.
 
-    Records are told apart by `key`; of repeated rows the largest texts hold (copies are equal). A
-    null answer is empty; with a null question no copy and no other language can be found. Further
+    Records are told apart by `key`; of repeated rows the one with the largest votes holds (copies
+    are equal). A null answer is empty; with a null question no copy and no other language can be found. Further
     columns are ignored, an empty table gives an empty result.
     """
     cutoffs = CUTOFFS | (cutoffs or {})
-    records = pairs.groupBy(*key).agg(F.max(question).alias("__q"), F.max(answer).alias("__a"))
+    rows = pairs.select(*key, F.col(question).alias("__q"), F.col(answer).alias("__a"))
     functions = labelling_functions()
     votes = {f"v_{d}": reduce(lambda x, y: x + y, (F.shiftleft(c, k) for k, (_, _, c) in enumerate(fs))).cast("int") for d, fs in functions.items()}
-    voted = cut_lineage(_prepared(records).select(*key, *(c.alias(n) for n, c in votes.items())))
+    # The functions run where the rows are read; only their votes are shuffled.
+    each_row = _prepared(rows).select(*key, *(c.alias(n) for n, c in votes.items()))
+    voted = cut_lineage(each_row.groupBy(*key).agg(F.max(F.struct(*votes)).alias("__v")).select(*key, *(F.col(f"__v.{n}").alias(n) for n in votes)))
     each = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(f"v_{d}").alias("pattern")) for d in DEFECTS))).alias("e")
     counted = voted.select(each).groupBy("e.defect", "e.pattern").count().collect()  # at most 2**functions rows a defect
     posterior = {}
