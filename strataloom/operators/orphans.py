@@ -97,7 +97,8 @@ def orphan_references(tables: dict[str, DataFrame], deleted: DataFrame, referenc
 
     probed = split_by_filter(refs, bloom_filter(parents, "tab", "key", blocks=blocks), "tab", "key", blocks=blocks)
     known = parents.groupBy("tab", "key").agg(F.min("loaded").alias("first"), F.max("loaded").alias("last"), F.lit(True).alias("present"))
-    absent = probed.where(~F.col("may_exist")).withColumns({"first": F.lit(None).cast("timestamp"), "last": F.lit(None).cast("timestamp"), "present": F.lit(False)})
+    time = known.schema["first"].dataType
+    absent = probed.where(~F.col("may_exist")).withColumns({"first": F.lit(None).cast(time), "last": F.lit(None).cast(time), "present": F.lit(False)})
     maybe = probed.where("may_exist").join(known, ["tab", "key"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
     judged = absent.select(*_FIELDS).unionByName(maybe.select(*_FIELDS)).join(log, ["tab", "key"], "left")
     back = F.coalesce(F.col("last") > F.col("deleted_at"), F.lit(False))

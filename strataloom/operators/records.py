@@ -14,7 +14,7 @@ VERDICTS = ("confirmed", "contradicted", "unverifiable")
 def latest(df: DataFrame, key: str = "id", order: str = "loaded_at") -> DataFrame:
     """One row per key: the last to arrive. Ties hold equal content; aggregation before the shuffle, no window."""
     others = [c for c in df.columns if c not in (key, order)]
-    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(order, *others), F.coalesce(F.col(order), F.lit("0001-01-01").cast("timestamp"))).alias("r"))
+    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(order, *others), F.coalesce(F.col(order), F.lit("0001-01-01").cast(df.schema[order].dataType))).alias("r"))
     return best.select(key, *(F.col("r")[c].alias(c) for c in [order, *others])).select(*df.columns)
 
 
