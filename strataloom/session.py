@@ -69,3 +69,12 @@ def drop_table(df: DataFrame) -> None:
     for name in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, over more tasks if it is read in fewer than there are cores.
+
+    For slow work per row on a table in few files; a table in many splits is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
