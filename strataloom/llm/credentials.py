@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.session import spread
+
 #: Words of the dictionary at most (by number of uses); the bound of what is sent to the tasks.
 DICTIONARY_WORDS = 20_000
 #: Characters that no word explains, from which a value of a key or token is a secret.
@@ -278,4 +280,4 @@ def embedded_credentials(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("__key").type), pa.array(lines, pa.list_(pa.int64())), pa.array(codes, pa.string())], names=["__key", "line_nos", "redacted"])
 
-    return rows.mapInArrow(run, f"__key {kind}, line_nos array<bigint>, redacted string").withColumnRenamed("__key", key)
+    return spread(rows).mapInArrow(run, f"__key {kind}, line_nos array<bigint>, redacted string").withColumnRenamed("__key", key)

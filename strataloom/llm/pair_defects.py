@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.session import cut_lineage
+from strataloom.session import cut_lineage, spread
 
 # Words of the five languages that carry grammar, not content.
 STOPWORDS = {
@@ -210,7 +210,7 @@ def label_pairs(pairs: DataFrame, key: list[str], question: str = "question", an
     columns are ignored, an empty table gives an empty result.
     """
     cutoffs = CUTOFFS | (cutoffs or {})
-    rows = pairs.select(*key, F.col(question).alias("__q"), F.col(answer).alias("__a"))
+    rows = spread(pairs.select(*key, F.col(question).alias("__q"), F.col(answer).alias("__a")))
     functions = labelling_functions()
     votes = {f"v_{d}": reduce(lambda x, y: x + y, (F.shiftleft(c, k) for k, (_, _, c) in enumerate(fs))).cast("int") for d, fs in functions.items()}
     # The functions run where the rows are read; only their votes are shuffled.

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.grammars import LexError, data_formats, java17, python313
 from strataloom.llm.peg import Grammar
+from strataloom.session import spread
 
 # Language of each extension.
 LANGUAGES = {"py": "python", "java": "java", "json": "json", "toml": "toml"}
@@ -116,10 +117,7 @@ def invalid_files(files: DataFrame, key: str = "file_id") -> DataFrame:
     ignored.
     """
     cases = files.where(F.col(key).isNotNull() & F.col("content").isNotNull()).select(F.col(key).alias("key"), "repo_id", _language().alias("language"), "content").where("language is not null")
-    # Parsing is slow for its input's size: a table in few splits is spread over all cores.
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    if cases.rdd.getNumPartitions() < cores:
-        cases = cases.repartition(4 * cores)
+    cases = spread(cases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

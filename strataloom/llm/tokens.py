@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.session import spread
+
 #: Where the vocabulary files lie unless the caller says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters above which a text is spread over several rows.
@@ -160,7 +162,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     """
     out, out_type = ("n_tokens", "bigint") if counts_only else ("ids", "array<int>")
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = spread(documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")))
     is_long = F.coalesce(F.length("__text") > long_chars, F.lit(False))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +196,8 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
 
     done = rows.where(~is_long).mapInArrow(short, f"__key {kind}, {out} {out_type}")
     long_rows = rows.where(is_long).withColumn("__row", F.monotonically_increasing_id())
-    spread = long_rows.mapInArrow(cut, f"__key {kind}, __row bigint, seq int, stretch int, piece string").repartition("__key", "seq")
-    encoded = spread.mapInArrow(pieces_ids, f"__key {kind}, __row bigint, seq int, stretch int, ids array<int>")
+    pieces = long_rows.mapInArrow(cut, f"__key {kind}, __row bigint, seq int, stretch int, piece string").repartition("__key", "seq")
+    encoded = pieces.mapInArrow(pieces_ids, f"__key {kind}, __row bigint, seq int, stretch int, ids array<int>")
     # One group is one row of the input, and its result is one row again.
     parts = encoded.groupBy("__key", "__row").agg(F.array_sort(F.collect_list(F.struct("seq", "stretch", "ids"))).alias("parts"))
     joined = parts.select("__key", "parts").mapInArrow(together, f"__key {kind}, {out} {out_type}")
