@@ -177,6 +177,8 @@ ORACLES = {
     "history_text": f"""with recursive {_D['asks']}, {_CHAIN} select start, string_agg('Q: ' || coalesce(k.question, '') || case when hop = 1 then chr(10) || 'A: ' || coalesce(k.answer, '') else '' end, chr(10) order by hop desc) as text
       from chain join k on k.id = chain.id group by 1""",
     "question_sets": f"with {_D['questions']} select id, repo_id, row_number() over (partition by repo_id order by ordinal nulls first, id) as number, (number - 1) // 5 + 1 as set_no from q",
+    "newest_asks": f"""with {_D['asks']}, t as (select id, repo_id, timezone('UTC', try_cast(case when regexp_matches(created_at, '(Z|[+-]\\d\\d:\\d\\d)$') then created_at else created_at || '+00:00' end as timestamptz)) as made from k),
+      r as (select *, row_number() over (partition by repo_id order by made desc nulls last, id desc) as rank from t) select repo_id, rank, id from r where rank <= 3""",
     "manifest_hash": f"with {_MAN.format('m', 'true')} select * from m",
     "hash_changed": f"with {_MANS}, {_DIFF} select * from diff",
     "cache_apply": f"""with {_MANS}, {_DIFF}, {_CH}, known as (select repo_id, file, symbol, start_line, min(summary) as cached from ch where summary is not null and summary <> '' group by 1, 2, 3, 4)
@@ -191,6 +193,9 @@ ORACLES = {
     "md_sections": f"""with {_LINES}, {_FENCED}, h as (select *, fences % 2 = 0 and regexp_matches(line, '^##? [^\\s\\v]') as head from fenced),
       n as (select *, sum(head::int) over (partition by doc_id order by pos) as section from h)
       select doc_id, cast(section as bigint) as section, max(case when head then trim(regexp_replace(line, '^##? ', ''), ' ') end) as title, min(pos) + 1 as start_line, max(pos) + 1 as end_line from n group by 1, 2 having max(length(trim(line, ' '))) > 0""",
+    "section_keywords": f"""with {_LINES}, {_FENCED}, plain as (select doc_id, pos, trim(regexp_replace(line, '[*_`>|-]+', ' ', 'g'), ' ') as line from fenced where fences % 2 = 0 and not regexp_matches(line, '^\\s*(?:```|#|!\\[|\\[!\\[)')),
+      kept as (select *, coalesce(sum(length(line)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as before from plain where line <> '')
+      select doc_id, substring(string_agg(line, ' ' order by pos), 1, 200) as keywords from kept where before < 200 group by 1""",
     "occurrence_suffix": f"""with {_CH} select chunk_id, case when r > 1 then base || '#' || r else base end as numbered from (select chunk_id, base, row_number() over (partition by repo_id, file, base order by start_line, chunk_id) as r
       from (select *, regexp_replace(symbol, '#\\d+$', '') as base from ch where kind in ('class', 'method', 'function')))""",
     "file_chunk_assemble": f"""with {_CH}, m as (select * from ch where kind in ('class', 'method', 'function')), p as (select * from m where parent is null or exists (select 1 from m x where x.kind = 'class' and x.repo_id = m.repo_id and x.file = m.file and x.symbol = m.parent))
