@@ -11,6 +11,7 @@ the result stays the same.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,22 +39,14 @@ RECORD_REFERENCES = (
 )
 
 
-def _mask(hashed: Column) -> Column:
-    """The bits of a key inside its block: six bits of the hash for each."""
-    return _reduce_or(
-        F.expr(f"shiftleft(1L, cast(shiftrightunsigned({{h}}, {24 + 6 * k}) & 63 as int))".replace("{h}", "__h")) for k in range(BITS_PER_KEY)
-    )
-
-
-def _reduce_or(columns) -> Column:
-    total = None
-    for column in columns:
-        total = column if total is None else total.bitwiseOR(column)
-    return total
+def _mask() -> Column:
+    """The bits of a key inside its block: six bits of the hash `__h` for each, apart from those that choose the block."""
+    bits = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(__h, {24 + 6 * k}) & 63 as int))") for k in range(BITS_PER_KEY)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
 def _hashed(df: DataFrame, *key: str, blocks: int) -> DataFrame:
-    return df.withColumn("__h", F.xxhash64(*key)).withColumn("__block", F.pmod("__h", F.lit(blocks))).withColumn("__mask", _mask(F.col("__h"))).drop("__h")
+    return df.withColumn("__h", F.xxhash64(*key)).withColumn("__block", F.pmod("__h", F.lit(blocks))).withColumn("__mask", _mask()).drop("__h")
 
 
 def bloom_filter(keys: DataFrame, *key: str, blocks: int = BLOCKS) -> DataFrame:
