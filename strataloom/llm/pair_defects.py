@@ -43,11 +43,6 @@ REFUSALS = (
     r"je ne sais pas|désolé|je ne peux pas|je ne suis pas|préfère ne pas|impossible de répondre|m'est impossible|aucune idée|je n'ai pas (?:accès|le droit)|je refuse|je regrette",
 )
 APOLOGIES = r"\b(?:sorry|unfortunately|afraid|honestly|please ask|anything else you would like|ask someone|désolé|merci de demander|lo siento|pregunte a|es tut mir leid|leider|bitte fragen sie)\b|죄송|다른 질문을 해 주세요|모르겠"
-
-# Words of which every Latin phrase above has one, so that other texts needn't be searched for the phrases.
-REFUSAL_WORDS = """can cannot couldn could won don decline refuse unable able pass rather prefer haven have never sorry afraid allowed permitted sure familiar position looked idea clue area comment help outside guidelines policy language
-scope say tell skip unfortunately unknown appropriate right proper possible comfortable liberty ich beantworten helfen auskunft ahnung leider darf zugriff befugt sé siento puedo posible tengo prefiero estoy niego dispongo sais désolé peux suis préfère impossible aucune
-refuse regrette will access""".split()
 CONTRAST = r"\b(?:but|though|although|however|yet|still|aber|jedoch|allerdings|pero|aunque|mais|cependant|toutefois)\b|지만|그러나|다만"
 
 
@@ -165,8 +160,7 @@ def _prepared(pairs: DataFrame) -> DataFrame:
         "__informs": F.size(F.array_except(_names(a), F.coalesce(_names(q), F.array().cast("array<string>")))) > 0,
     })
     df = df.withColumns({"__unfenced": F.regexp_replace("__tail", r"(?s)```.*?```|`[^`\n]*`", " "), **{f"__w{s}": F.split(f"__l{s}", r"[^\p{L}]+") for s in "aq"}, **{f"__m_{x}": F.length(F.regexp_replace("__la", f"[^{o}]+", "")) for x, o in OWN_LETTERS.items()}})
-    worth = (F.col("__hangul") > 0) | F.exists("__wa", _is_in(sorted(set(REFUSAL_WORDS))))
-    df = df.withColumn("__hit", F.when(worth, F.regexp_like(F.col("__la"), F.lit(REFUSAL))).otherwise(F.lit(False)))
+    df = df.withColumn("__hit", F.coalesce(F.regexp_like(F.col("__la"), F.lit(REFUSAL)), F.lit(False)))
     df = df.withColumns({f"__{s}_{x}": F.size(F.filter(f"__w{s}", _is_in(w.split()))) for s in "aq" for x, w in STOPWORDS.items()})
     best = F.greatest(*(F.col(f"__q_{x}") for x in STOPWORDS))
     lang = F.when(F.col("__pq").rlike("[가-힣]"), "ko")

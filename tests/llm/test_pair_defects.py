@@ -75,3 +75,18 @@ def test_several_labels_are_kept(spark):
     rows, _ = planted(3000, 12)
     df = spark.createDataFrame(rows, "pair_table string, id bigint, question string, answer string, x string, y double")
     assert ("copy", "truncated") in {tuple(r["labels"]) for r in pd_.label_pairs(df, KEY).collect()}
+
+
+DECLINES = [
+    "I do not know.", "As an AI, nothing to add here.", "Tut mir leid.", "Je n'ai pas accès au code.", "Je n'ai pas le droit de répondre.", "I don't know.", "I'd rather leave it.", "I am afraid it is gone.", "I never saw it.", "No idea.", "That is not my area.",
+    "Our policy stops me.", "It is out of scope.", "I must decline.", "It would not be right.", "Pass.", "Skip!", "Unknown.", "모릅니다.", "Das weiß ich nicht.", "Ich weiß es nicht.", "Keine Ahnung.", "Ich habe keinen Zugriff.", "No lo sé.", "Lo siento.", "No dispongo de eso.", "Me niego.",
+    "Je ne sais pas.", "Désolé.", "C'est impossible de répondre.", "Il m'est impossible de le dire.", "Je refuse.", "Je regrette.",
+]
+
+
+def test_every_wording_of_a_refusal_is_searched(spark):
+    rows = [("asks", i, "What does `f_1` do when the file is missing?", a) for i, a in enumerate(DECLINES)]
+    prepared = pd_._prepared(spark.createDataFrame(rows, "pair_table string, id bigint, __q string, __a string"))
+    assert [a for a, hit in prepared.select("__a", "__hit").collect() if not hit] == []
+    sound = pd_._prepared(spark.createDataFrame([("asks", 1, "q", "The cache is filled by `load`."), ("asks", 2, "q", None)], "pair_table string, id bigint, __q string, __a string"))
+    assert [r["__hit"] for r in sound.collect()] == [False, False]
