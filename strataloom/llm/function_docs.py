@@ -261,15 +261,21 @@ def informative_words(text: str, symbol: str, params: list[str]) -> int:
     return len({w for w in found if len(w) > 1 or ord(w[0]) > 0x2E7F} - own - FILLERS - PLACEHOLDERS)
 
 
-_HEADER = re.compile(r"\s*(?:async\s+)?def\b|\s*@")
-_OPENS_BODY = re.compile(r"(?:[^:#\"'()\[\]{}]|\[[^\]]*\])*:(?:\s|\\\r?\n|#[^\n]*\n)*[(rRuU]?[uUrR(]*\s*[\"']")
+_HEADER = re.compile(r"\s*(?:@[\w.]+[ \t]*\r?\n\s*)*(?:async\s+)?def\s+\w+\s*\(")
+_PLAIN_END = re.compile(r"(?:[^:#\"'()\[\]{}\\]|\[[^#\"'()\[\]{}\\]*\])*:(?:\s|\\\r?\n|#[^\n]*(?:\n|$))*")
+_STRING_OR_BRACKET = re.compile(r"[rRuU]{0,2}[\"']|\(")
 
 
 def may_have_docstring(code: str) -> bool:
-    """False only where the first function's body can't begin with a string; spares the lexer."""
-    depth, i = 0, code.find("(")
-    if not _HEADER.match(code) or i < 0:
+    """False only where the first function's body can't begin with a string; spares the lexer.
+
+    Where the header isn't plain (decorators with arguments, type parameters, quotes, nested or
+    round brackets in the return annotation), the lexer decides.
+    """
+    header = _HEADER.match(code)
+    if not header:
         return True
+    depth, i = 0, header.end() - 1
     while i < len(code):
         c = code[i]
         if c in "([{":
@@ -277,7 +283,8 @@ def may_have_docstring(code: str) -> bool:
         elif c in ")]}":
             depth -= 1
             if depth == 0:
-                return _OPENS_BODY.match(code, i + 1) is not None
+                body = _PLAIN_END.match(code, i + 1)
+                return body is None or _STRING_OR_BRACKET.match(code, body.end()) is not None
         elif c in "\"'#":
             return True
         i += 1

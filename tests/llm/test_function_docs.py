@@ -66,3 +66,20 @@ def test_table(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "chunk_id bigint, kind string, file string, symbol string, code string, description string")
     assert sorted(r["chunk_id"] for r in fd.function_pairs(df).select("chunk_id").distinct().collect()) == [1, 2, 5, 8]
     assert fd.function_pairs(df.limit(0)).count() == 0
+
+
+HEADERS = [
+    "def f(a) -> dict[str, list[int]]:", "def f(a) -> Callable[[int], str]:", 'def f(a) -> "Node":', "def f(a) -> Annotated[int, Gt(0)]:", "def f(a) -> (int):", "def f(a) -> Literal['x']:", "@lru_cache(maxsize=None)\ndef f(a):", "@cache\n@app.get(path)\nasync def f(a) -> int:",
+    "def f[T: (int, str)](a: T) -> T:", "def f(a) -> dict[str, int]:", "@staticmethod\ndef f(a):", "def f(a) -> list[  # note\n    int]:", "def f(a) \\\n        -> int:",
+]
+
+
+@pytest.mark.parametrize("header", HEADERS)
+@pytest.mark.parametrize("body", [f'\n    """{GOOD}"""\n    return a', f'  # note\n\n    (\n    # note\n    r"{GOOD}")\n    return a', f' ( ( "{GOOD}" ) )'])
+def test_no_header_hides_its_documentation(header, body):
+    assert fd.documentation("python", header + body, "f") == (GOOD, pytest.approx(-0.5, abs=1))
+
+
+@pytest.mark.parametrize("header", ["def f(a):", "def f(a) -> dict[str, int]:", "@staticmethod\ndef f(a) -> int:"])
+def test_the_lexer_is_spared_where_the_body_begins_otherwise(header):
+    assert not fd.may_have_docstring(header + "\n    # note\n    return 'x'")
