@@ -2,8 +2,10 @@
 
 Literals near assignments, headers, addresses and commands are segmented by Viterbi into words
 of a dictionary that the corpus' own symbols and calls give. What no word explains is a
-residual; a long one in the context of a key or token is a secret, a password may also be made
-of words. Placeholders, references, hashes, ids, public keys and certificates are excluded.
+residual; a long one in the context of a key or token is a secret, with digits or without. A
+password may also be made of words, be short, or hold spaces where it is quoted. Placeholders (of
+three different characters at most, too), references, hashes, ids, public keys, certificates and
+messages about a password are excluded.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ _NAMES = "password|passwd|passphrase|passcode|pass|pwd|pw|secret|token|apikey|ke
 _PLACEHOLDER = re.compile(
     r"(?i)\$\{|\{\{|^\{.*\}$|^<.*>$|^\$\(?\w|^%\w|%\(|^\[.*\]$|change[_-]?me|replace[_-]?me|your[_-]|insert[_-]|dummy|example|placeholder|redacted|removed|hidden|^(?:secret|password|token|none|null|true|false|test|foo|bar|todo|tbd)$|\.\.\.|…|not[_-]a[_-]|fake|sample|-for-docs|key-here|<[\w -]+>|x{4,}|\*{3,}|(?:^|[^0-9a-z])0{8,}"
 )
+# Words of messages; a text with spaces that has two of them, or names a credential, isn't a passphrase.
+_MESSAGE = re.compile(rf"(?i)\b(?:{_NAMES})s?\b|\b(?:a|an|and|are|at|be|been|between|can|cannot|can't|contain|contains|did|do|does|empty|enter|for|from|has|have|if|in|invalid|is|it|least|missing|must|no|not|of|or|please|required|should|than|the|to|too|was|with|wrong|you|your)\b")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 _HASH = re.compile(r"(?i)^(?:sha\d+[:-]|md5[:-]|\$(?:2[aby]|argon2\w*|pbkdf2[\w-]*|[156])\$|\{(?:sha|ssha|bcrypt)\})")
 _REFERENCE = re.compile(r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$|(?i:^(?:vault|env|file|secret|ssm|arn|op|kms|keyring)[:/])|^(?:/|\./|~/|\.\./)(?:[A-Za-z][\w.-]*/)*[\w.-]+$|^os\.|^\w+\(\)$|^[\w.-]+\.(?:pem|key|crt|txt|json|ya?ml|env|p12|jks)$")
@@ -44,7 +48,7 @@ _HINTS = re.compile(
 )
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KNOWN_AT = re.compile(rf"(?:{_KNOWN})")
-_USER = re.compile(r"://[^\s:/@\"'`{}<>]*:(?=[^\s\"'`@]{1,200}@[\w\[])")
+_USER = re.compile(r"://[^\s:/@\"'`{}<>]*:(?=[^\s\"'`@]+@[\w\[])")
 _HEAD = re.compile(r"(?:Bearer|Basic|(?<=Authorization: )Token) +(?=[\w+/=.~-]{8,})", re.I)
 _FLAG = re.compile(r"(?:(?<=[\s\"'])--?(?:password|passwd|pass|token|secret|api-key)(?:=| +)|(?<=\s)-u +[\w.-]+:|(?<=\s)-p(?=[^\s-]))[\"']?", re.I)
 _NAMED = re.compile(
@@ -108,16 +112,19 @@ def _name_kind(name: str) -> str:
     return "secret" if words[-1] in SECRET_NAMES or words[-2:] == ["api", "key"] else ""
 
 
+def _is_message(text: str) -> bool:
+    said = [m[0] for m in _MESSAGE.finditer(text)]
+    return " " in text and (len(said) > 1 or any(_NAME_END.fullmatch(w.rstrip("sS")) or _NAME_END.fullmatch(w) for w in said))
+
+
 def _accept(kind: str, value: str, words: Dictionary) -> bool:
     value = value.strip()
-    if len(value) < 6 or " " in value or _is_placeholder(value) or _UUID.match(value) or _HASH.match(value):
+    if not value or (kind != "password" and " " in value) or _is_message(value) or _is_placeholder(value) or _UUID.match(value) or _HASH.match(value):
         return False
     if kind == "known":
         return True
     if value.startswith(("http://", "https://", "data:", "ssh-")) or re.fullmatch(r"[\d.,:x/ -]+", value):
         return False
-    if not (kind == "password" or re.search(r"\d", value)):
-        return False
     rest = words.residual(value)
     if kind == "password":
         if re.fullmatch(r"[\w.-]+(?:/[\w.-]+)+", value) and rest < LEAST_RESIDUAL:
@@ -165,7 +172,7 @@ def _at(code: str, hint: str, at: int) -> tuple[str, int, int] | None:
         m = _COMMENT.match(code, at)
         return ("comment", at, m.end()) if m and not _NO_LABEL.search(m[1]) else None
     if hint[0] in "\"'":
-        start = code.rfind(hint[0], max(0, at - 200, code.rfind("\n", 0, at) + 1), at)
+        start = code.rfind(hint[0], code.rfind("\n", 0, at) + 1, at)
         line_end = code.find("\n", at)
         remark = code[at + len(hint) : line_end if line_end >= 0 else len(code)]
         return ("remarked", start, start + 1) if start >= 0 and _REMARK.search(remark) else None
@@ -218,6 +225,8 @@ def _judge(code: str, kind: str, at: int, value_at: int, configuration: bool, wo
     stop = _VALUES[kind].match(code, value_at)
     if not stop:
         return []
+    if code[at:value_at] == "-p" and re.fullmatch(r"[a-z]{1,5}", stop[0]):
+        return []  # an option such as -path, or a line that a patch removes
     as_kind = "password" if kind in ("user", "flag") or _name_kind(code[at:value_at].rstrip("=")) == "password" else "secret"
     return [stop.span()] if _accept(as_kind, stop[0], words) else []
 
