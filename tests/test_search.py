@@ -125,3 +125,13 @@ def test_java_facts(spark):
     refs = parsing.java_type_references(files)
     assert {(r["name"], r["n"]) for r in refs.where("path = 'p/T.java'").collect()} == {("Y", 2), ("Z", 1), ("T", 2), ("U", 2), ("String", 1)}
     assert rows(parsing.type_neighbours(refs)) == [(1, "p/T.java", "p/U.java", 2)]
+
+
+def test_every_call_has_its_enclosing_symbol(spark, tmp_path):
+    from strataloom.plans import search
+
+    code = "import a\na.start()\nclass K:\n    def m(self):\n        return g(1)\ndef g(x):\n    return a.b(x)\n"
+    spark.createDataFrame([(1, 1, "k.py", code)], "file_id bigint, repo_id bigint, path string, content string").write.parquet(str(tmp_path / "source_files.parquet"))
+    chunks = [(1, "K", "class", 3, 5), (2, "K.m", "method", 4, 5), (3, "g", "function", 6, 7)]
+    spark.createDataFrame([(i, 1, "k.py", s, k, a, b) for i, s, k, a, b in chunks], "chunk_id bigint, repo_id bigint, file string, symbol string, kind string, start_line int, end_line int").write.parquet(str(tmp_path / "chunks.parquet"))
+    assert [(r["line"], r["name"], r["symbol"]) for r in sorted(search.enclosing_calls(spark, str(tmp_path)).collect(), key=lambda r: r["line"])] == [(2, "start", None), (5, "g", "K.m"), (7, "b", "g")]
