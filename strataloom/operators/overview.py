@@ -47,6 +47,20 @@ def flow_ranking(edges: DataFrame) -> DataFrame:
     return rank_within(kept, ["repo_id"], [F.desc(F.col("n_out") + F.col("n_in")), "id"], "place")
 
 
+def type_ranking(neighbours: DataFrame) -> DataFrame:
+    """repo_id, file, n_uses, n_used_by, place: Java files by how many files they use and are used by; tests count on neither side."""
+    pairs = neighbours.where(~is_test_path(F.col("src")) & ~is_test_path(F.col("dst"))).select("repo_id", "src", "dst").distinct()
+    ends = pairs.select("repo_id", F.explode(F.array(F.struct(F.col("src").alias("file"), F.lit(1).alias("uses")), F.struct(F.col("dst").alias("file"), F.lit(0).alias("uses")))).alias("e"))
+    counted = ends.groupBy("repo_id", "e.file").agg(F.sum("e.uses").alias("n_uses"), F.sum(1 - F.col("e.uses")).alias("n_used_by"))
+    return rank_within(counted, ["repo_id"], [F.desc(F.col("n_uses") + F.col("n_used_by")), "file"], "place")
+
+
+def flows_and_types(flows: DataFrame, types: DataFrame) -> DataFrame:
+    """repo_id, id, place: the flow family, call flows first and types after them."""
+    both = flows.select("repo_id", "id", F.lit(0).alias("part"), F.col("place").alias("at")).unionByName(types.select("repo_id", F.col("file").alias("id"), F.lit(1).alias("part"), F.col("place").alias("at")))
+    return rank_within(both, ["repo_id"], ["part", "at"], "place").select("repo_id", "id", "place")
+
+
 def file_ranking(chunks: DataFrame) -> DataFrame:
     """repo_id, file, n_symbols, place: files by number of symbols; tests and the main file (the longest by lines) left out."""
     files = chunks.where("kind = 'file'").groupBy("repo_id", "file").agg(F.max("end_line").alias("lines"))

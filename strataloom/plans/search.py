@@ -124,6 +124,18 @@ def question_interleave(spark: SparkSession, folder: str) -> DataFrame:
     return overview.interleave(flow_rank(spark, folder), dependency_rank(spark, folder), file_rank(spark, folder))
 
 
+def type_rank(spark: SparkSession, folder: str) -> DataFrame:
+    indexed = distinct_chunks(spark, folder).where("kind = 'file'").select("repo_id", F.col("file").alias("path")).distinct()
+    references = parsing.java_type_references(_files(spark, folder)).join(indexed, ["repo_id", "path"], "left_semi")
+    return overview.type_ranking(parsing.type_neighbours(references))
+
+
+def question_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    """`question_interleave` with the type questions in the flow family, after the call flows."""
+    flows = overview.flows_and_types(flow_rank(spark, folder), type_rank(spark, folder))
+    return overview.interleave(flows, dependency_rank(spark, folder), file_rank(spark, folder))
+
+
 def enclosing_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Every call of the Python files with the innermost symbol around it; null outside of all."""
     every = python_calls(spark, folder).withColumnRenamed("path", "file")
@@ -199,7 +211,7 @@ _DEPS = f"drank as (select repo_id, dep, n_files, row_number() over (partition b
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_filtered, kind_quota_union, rerank_pad, hit_at_k, recall_any_all, identifier_extract, identifier_count_topk, drop_contained, mention_files, mention_symbols, search_union_fold,
-    overview_totals, entry_rank, flow_rank, file_rank, dependency_rank, question_interleave, enclosing_calls, screen_verdict, python_symbols, python_imports, python_calls, unused_params, quirk_groups, documentation_counts, stripped_sources,
+    overview_totals, entry_rank, flow_rank, file_rank, dependency_rank, question_interleave, type_rank, question_sequence, enclosing_calls, screen_verdict, python_symbols, python_imports, python_calls, unused_params, quirk_groups, documentation_counts, stripped_sources,
     java_facts, java_type_refs, type_neighbors,
 )}
 _T8 = f"with {_E}, {_PAIRS}, t as ({_TOP.format(g='', c=', label, kind')})"

@@ -127,6 +127,16 @@ def test_java_facts(spark):
     assert rows(parsing.type_neighbours(refs)) == [(1, "p/T.java", "p/U.java", 2)]
 
 
+def test_type_questions_follow_the_flows(spark):
+    edges = [("A", "B"), ("A", "C"), ("B", "C"), ("ATest", "A"), ("ATest", "C")]
+    path = lambda x: f"src/test/{x}.java" if x.endswith("Test") else f"src/{x}.java"
+    pairs = spark.createDataFrame([(1, path(a), path(b), 2) for a, b in edges], "repo_id bigint, src string, dst string, n bigint")
+    types = overview.type_ranking(pairs)
+    assert rows(types) == [(1, "src/A.java", 2, 0, 1), (1, "src/B.java", 1, 1, 2), (1, "src/C.java", 0, 2, 3)]
+    flows = spark.createDataFrame([(1, "a::f", 1), (1, "a::g", 2), (2, "b::f", 1)], "repo_id bigint, id string, place int")
+    assert rows(overview.flows_and_types(flows, types)) == [(1, "a::f", 1), (1, "a::g", 2), (1, "src/A.java", 3), (1, "src/B.java", 4), (1, "src/C.java", 5), (2, "b::f", 1)]
+
+
 def test_every_call_has_its_enclosing_symbol(spark, tmp_path):
     from strataloom.plans import search
 
