@@ -39,6 +39,41 @@ def section_keywords(documents: DataFrame, key: str = "doc_id", text: str = "tex
     return kept.groupBy(key).agg(F.substring(F.array_join(F.transform(ordered, lambda x: x["line"]), " "), 1, budget).alias("keywords"))
 
 
+# Marks of lines that tell the state of a project only.
+STATUS_MARKS = ("🚧", "⚠️", "🏗", "WIP", "Work in progress", "개발 중", "작업 중")
+
+
+def keywords_by_section(documents: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 200) -> DataFrame:
+    """key, section, title and keywords of each section of `markdown_sections`.
+
+    Keywords are the section's lines outside code fences without markup, sub-headings among them,
+    until `budget` characters are reached, cut to them. The title's echo before the first other line,
+    badges and short status lines are left out; a section of nothing else has an empty text.
+    """
+    lines = documents.where(F.length(text) > 0).select(key, F.posexplode(F.split(text, "\r?\n")).alias("pos", "line"))
+    w = Window.partitionBy(key).orderBy("pos")
+    fence = F.col("line").rlike(r"^\s*```")
+    fences = F.sum(F.when(fence, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    bare = strip(F.regexp_replace(strip(F.col("line")), r"^#+", ""))
+    plain = strip(F.replace(F.replace(F.regexp_replace(bare, r"^[-*>+ ]+", ""), F.lit("|"), F.lit(" ")), F.lit("**"), F.lit("")))
+    # As markdown_sections numbers them; one shuffle by `key` serves all windows.
+    marked = lines.withColumn("prose", (fences % 2 == 0)).withColumn("head", F.col("prose") & F.col("line").rlike(r"^##? \S"))
+    cut = marked.withColumn("section", F.sum(F.col("head").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    inside = Window.partitionBy(key, "section").orderBy("pos")
+    title = F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", "^##? ", "")))).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    named = cut.withColumns({"title": title, "filled": F.length(F.trim("line")) > 0, "prose": F.col("prose") & ~fence}).withColumn("line", plain)
+    status = (F.length("line") <= 30) & F.col("line").rlike("|".join(STATUS_MARKS))
+    joined = named.withColumn("worth", F.col("prose") & ~F.col("line").rlike(r"^[-: ]*$|^\[?!\[") & ~status)
+    begun = F.max(F.col("worth") & ~F.col("line").eqNullSafe(F.col("title"))).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = joined.withColumn("picked", F.col("worth") & begun)
+    before = F.coalesce(F.sum(F.when(F.col("picked"), F.length("line")).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = picked.withColumn("kept", F.when(F.col("picked") & (before < budget), F.struct("pos", "line")))
+    ordered = F.transform(F.array_sort(F.collect_list("kept")), lambda x: x["line"])
+    found = kept.groupBy(key, "section").agg(F.max("title").alias("title"), F.substring(F.array_join(ordered, " "), 1, budget).alias("keywords"), F.max("filled").alias("filled"))
+    return found.where("filled").drop("filled")
+
+
 def occurrence_numbers(chunks: DataFrame) -> DataFrame:
     """chunk_id and numbered: the symbol, from its second occurrence in a file on with # and its number."""
     base = F.regexp_replace("symbol", r"#\d+$", "")

@@ -122,6 +122,10 @@ def section_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return text.section_keywords(table(spark, folder, "documents"))
 
 
+def keywords_by_section(spark: SparkSession, folder: str) -> DataFrame:
+    return text.keywords_by_section(table(spark, folder, "documents"))
+
+
 def occurrence_suffix(spark: SparkSession, folder: str) -> DataFrame:
     return text.occurrence_numbers(distinct_chunks(spark, folder))
 
@@ -157,7 +161,7 @@ _FENCED = "fenced as (select *, sum(case when regexp_matches(line, '^\\s*```') t
 
 QUERIES = {f.__name__: f for f in (
     upsert_latest, prune_deleted, verdict_summary, tally, repeated_assertions, claims_for, score_total, answered_attempts, answered_distinct, list_asks_parent, ask_chain, history_text, question_sets, newest_asks, feedback_parse,
-    manifest_hash, hash_changed, cache_apply, manifest_upsert, prune_stale, stale_restore, md_sections, section_keywords, occurrence_suffix, file_chunk_assemble, embedding_text, chunk_locations, names_line,
+    manifest_hash, hash_changed, cache_apply, manifest_upsert, prune_stale, stale_restore, md_sections, section_keywords, keywords_by_section, occurrence_suffix, file_chunk_assemble, embedding_text, chunk_locations, names_line,
 )}
 ORACLES = {
     "upsert_latest": "select id, max(loaded_at) as loaded_at from answers where id is not null group by 1",

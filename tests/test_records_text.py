@@ -99,3 +99,12 @@ def test_ranks_within_hot_groups(spark):
         groups.setdefault(r["g"], []).append((-r["v"], r["id"], r["n"]))
     assert len(got) == 3000 and all([x[2] for x in sorted(g)] == list(range(1, len(g) + 1)) for g in groups.values())
     assert rank_within(df.limit(0), ["g"], ["id"], "n").count() == 0
+
+
+def test_keywords_of_every_section(spark):
+    long = "\n".join(f"word{i:03d} of the text" for i in range(40))
+    docs = spark.createDataFrame([(1, f"# One\nOne\n![badge](x)\n🚧 WIP\n{long}\n## Two\r\n```\n# not a heading\n```\n### Sub-heading\n- **bold** | cell\n|---|:--|\n> quoted\nTwo"), (2, "intro\n\n# Only\n"), (3, None), (4, "")], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["section"]): (r["title"], r["keywords"]) for r in text.keywords_by_section(docs).collect()}
+    assert found[1, 1] == ("One", long.replace("\n", " ")[:200])
+    assert found[1, 2] == ("Two", "Sub-heading bold   cell quoted Two")
+    assert found[2, 0] == (None, "intro") and found[2, 1] == ("Only", "") and len(found) == 4
