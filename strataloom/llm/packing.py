@@ -2,9 +2,10 @@
 
 Each partition packs its items as they come into a fixed number of open containers: best fit
 first; when an item fits into none, the fullest is emitted and a new one opened. What is open
-at a partition's end is packed again by fewer partitions, level by level, until one partition
-merges what is left. A task therefore never holds more than `open_windows` containers times
-the number of partitions it merges.
+at a partition's end is merged by fewer partitions, level by level, until one partition
+merges what is left. A merging task receives at most `open_windows` containers from each of
+`merged` partitions and has a window for every one of them, so it can take their items from the
+largest down; of what it made, the `open_windows` emptiest stay open for the next level.
 """
 
 from __future__ import annotations
@@ -57,12 +58,12 @@ def _names(kind: str) -> str:
     return f"__key {kind}, part int, start bigint, n_tokens bigint, container bigint, is_open boolean"
 
 
-def _pack(items: DataFrame, kind: str, level: int, capacity: int, open_windows: int) -> DataFrame:
-    """One level: rows with their container, named by level, partition and number."""
+def _pack(items: DataFrame, kind: str, level: int, capacity: int, windows: int, left_open: int) -> DataFrame:
+    """One level: rows with their container, named by level, partition and number; the `left_open` emptiest of the last `windows` are marked open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = ((level << 22) + TaskContext.get().partitionId()) << 32
-        state, key_type = _Open(open_windows, capacity), None
+        state, key_type = _Open(windows, capacity), None
 
         def rows(placed: list[tuple[int, tuple]], is_open: bool) -> pa.RecordBatch:
             keys, parts, starts, sizes = zip(*(x for _, x in placed))
@@ -77,9 +78,10 @@ def _pack(items: DataFrame, kind: str, level: int, capacity: int, open_windows:
                 gone += state.add(item[3], item)
             if gone:
                 yield rows(gone, False)
-        left = [(b, x) for b, content in state.content.items() for x in content]
-        if left:
-            yield rows(left, True)
+        by_room = [b for _, b in reversed(state.rooms)]  # the emptiest first
+        for bins, is_open in ((by_room[:left_open], True), (by_room[left_open:], False)):
+            if placed := [(b, x) for b in bins for x in state.content[b]]:
+                yield rows(placed, is_open)
 
     return items.select("__key", "part", "start", "n_tokens").mapInArrow(run, _names(kind))
 
@@ -98,13 +100,14 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     pieces = items.select("__key", "n", F.posexplode(F.sequence(F.lit(0), full)).alias("part", "__p")).drop("__p")
     pieces = pieces.withColumn("start", F.col("part") * F.lit(capacity).cast("long")).withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start")))
     level, done = 0, []
-    placed = cut_lineage(_pack(pieces, kind, level, capacity, open_windows))
-    while (partitions := placed.where("is_open").select(F.shiftright("container", 32)).distinct().count()) > 1:
+    placed = cut_lineage(_pack(pieces, kind, 0, capacity, open_windows, open_windows))
+    partitions = placed.where("is_open").select(F.shiftright("container", 32)).distinct().count()
+    while partitions and (partitions > 1 or level == 0):
         partitions, level = -(-partitions // merged), level + 1
         done.append(placed.where("not is_open"))
-        # Containers keep together on their way, so that what already lies together is met together.
+        # Containers keep together on their way, so that the windows of a task suffice for all it receives, but for uneven hashing.
         again = placed.where("is_open").repartition(partitions, "container").sortWithinPartitions(F.desc("n_tokens"), "__key", "part")
-        placed = cut_lineage(_pack(again, kind, level, capacity, open_windows))
+        placed = cut_lineage(_pack(again, kind, level, capacity, 2 * merged * open_windows, open_windows))
     for earlier in done:
         placed = placed.unionByName(earlier)
     return placed.drop("is_open").withColumnRenamed("__key", key)

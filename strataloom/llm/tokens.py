@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.session import spread
+from strataloom.session import cut_lineage, spread
 
 #: Where the vocabulary files lie unless the caller says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -195,7 +195,8 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
             yield pa.RecordBatch.from_arrays([batch.column("__key"), _lists(whole, counts_only)], names=["__key", out])
 
     done = rows.where(~is_long).mapInArrow(short, f"__key {kind}, {out} {out_type}")
-    long_rows = rows.where(is_long).withColumn("__row", F.monotonically_increasing_id())
+    # The numbers are written with the rows, so that a retried stage can't number them anew.
+    long_rows = cut_lineage(rows.where(is_long).withColumn("__row", F.monotonically_increasing_id()))
     pieces = long_rows.mapInArrow(cut, f"__key {kind}, __row bigint, seq int, stretch int, piece string").repartition("__key", "seq")
     encoded = pieces.mapInArrow(pieces_ids, f"__key {kind}, __row bigint, seq int, stretch int, ids array<int>")
     # One group is one row of the input, and its result is one row again.
