@@ -74,18 +74,18 @@ def test_packing_keeps_every_token_once(spark, partitions):
 
 
 def test_leftovers_of_many_partitions_are_merged_to_the_bound(spark):
-    """Large items that all come before small ones leave every partition with half-filled containers."""
+    """Forty short partitions leave little but leftovers; merged, they must fill like one sorted list."""
     rng = random.Random(7)
     sizes = [(i, rng.randint(51, 90)) for i in range(600)] + [(600 + i, rng.randint(1, 40)) for i in range(1200)]
-    df = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint").repartitionByRange(20, "doc_id")
-    used = packing.pack(df, capacity=100, open_windows=100).select("container").distinct().count()
+    df = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint").repartition(40)
+    used = packing.pack(df, capacity=100, open_windows=40).select("container").distinct().count()
     rooms = []  # best fit over all items from the largest down, with every container open
     for n in sorted((n for _, n in sizes), reverse=True):
         fits = [r for r in rooms if r >= n]
         if fits:
             rooms.remove(min(fits))
         rooms.append((min(fits) if fits else 100) - n)
-    assert used <= 1.03 * len(rooms), (used, len(rooms))
+    assert used <= 1.02 * len(rooms), (used, len(rooms))
 
 
 def test_packing_documents(spark):
