@@ -72,16 +72,25 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_words(table(spark, folder, "documents"))
 
 
+def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p4_found": p4_found, "p4_causes": p4_causes, "p4_rates": p4_rates,
     "p5_found": p5_found, "p5_redacted": p5_redacted,
-    "p2_found": p2_found, "p2_pairs": p2_pairs, "p1_found": p1_found, "p1_labels": p1_labels, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
-ORACLES: dict[str, str] = {
-    # Every run of 40 words of every document, by its digest: the same result without anchors.
-    "p9_found": r"""
+    "p2_found": p2_found, "p2_pairs": p2_pairs, "p1_found": p1_found, "p1_labels": p1_labels, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans}
+# Every run of 40 words of every document, by its digest: the same result without anchors.
+_SHARED = r"""
 with w as (select doc_id, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') as ws from documents where doc_id is not null and text is not null),
 g as (select doc_id, i as pos, md5(array_to_string(ws[i:i + 39], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 38)) as i from w where len(ws) >= 40)),
-p as (select distinct doc_id, pos from g where h in (select h from g group by h having count(distinct doc_id) > 1)),
+p as (select distinct doc_id, pos from g where h in (select h from g group by h having count(distinct doc_id) > 1)),"""
+ORACLES: dict[str, str] = {
+    "p9_found": _SHARED + """
 c as (select doc_id, least(40, coalesce(pos - lag(pos) over (partition by doc_id order by pos), 40)) as n from p)
 select doc_id, cast(sum(n) as bigint) as n_shared from c group by 1""",
+    "p9_spans": _SHARED + """
+c as (select doc_id, pos, sum(case when b then 1 else 0 end) over (partition by doc_id order by pos) as stretch
+  from (select doc_id, pos, coalesce(pos - lag(pos) over (partition by doc_id order by pos) > 40, true) as b from p))
+select doc_id, min(pos) - 1 as first_word, max(pos) - min(pos) + 40 as n_words from c group by doc_id, stretch""",
 }

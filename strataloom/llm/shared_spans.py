@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strataloom.operators.orphans import bloom_filter, split_by_filter
-from strataloom.session import cut_lineage
+from strataloom.session import cut_lineage, drop_table
 
 #: Words of a shared span at least.
 SPAN = 40
@@ -93,7 +93,8 @@ def _anchor_rows(span: int, period: int, cover: tuple[int, ...]):
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts, keys = batch.column("__text"), batch.column("__key").to_numpy(zero_copy_only=False)
-                offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+                wide = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+                offsets = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
                 raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
                 i = 0
                 while i < len(texts):
@@ -141,6 +142,25 @@ def _in_two(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.min("__key").alias("a"), F.max("__key").alias("b")).where("a <> b").select(*by)
 
 
+def _shared_positions(documents: DataFrame, key: str, text: str, span: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """__key and pos: where runs of `span` words begin that stand in another document too."""
+    texts = documents.where(F.col(key).isNotNull() & (F.length(text) >= 2 * span - 1)).select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
+    # Written once, so that no text is hashed again for the second look at the anchors.
+    anchors = cut_lineage(texts.mapInArrow(_anchor_rows(span, period, cover), "h bigint, __key bigint, pos int"))
+    counted = Observation()
+    shared = cut_lineage(_in_two(anchors, "h"), counted, n=F.count("*"))
+    # The filter only spares the shuffle rows that can't match; the join decides.
+    hits = split_by_filter(anchors, bloom_filter(shared, "h", n_keys=counted.get["n"])).where("may_exist").drop("may_exist").join(shared, "h", "left_semi")
+    counted = Observation()
+    at = cut_lineage(hits.groupBy("__key").agg(F.collect_set("pos").alias("at")), counted, n=F.count("*"))
+    drop_table(anchors)
+    drop_table(shared)
+    wanted = split_by_filter(texts, bloom_filter(at, "__key", n_keys=counted.get["n"])).where("may_exist").drop("may_exist").dropDuplicates(["__key"]).join(at, "__key")
+    runs = cut_lineage(wanted.select("__key", F.col("__text").cast("binary").alias("__text"), "at").mapInArrow(_run_rows(span, period), "__key bigint, pos int, g0 bigint, g1 bigint"))
+    drop_table(at)
+    return runs.join(_in_two(runs, "g0", "g1"), ["g0", "g1"], "left_semi").select("__key", "pos").distinct()
+
+
 def shared_words(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """`key` and n_shared: word positions in runs of `span` words or more that stand in another document too.
 
@@ -148,14 +168,19 @@ def shared_words(documents: DataFrame, key: str = "doc_id", text: str = "text",
     such a position are left out, as are null keys and texts, blank and short texts. Rows with the
     same key are one document (equal copies change nothing). An empty table gives an empty result.
     """
-    texts = documents.where(F.col(key).isNotNull() & (F.length(text) >= 2 * span - 1)).select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
-    anchors = texts.mapInArrow(_anchor_rows(span, period, cover), "h bigint, __key bigint, pos int")
-    shared = cut_lineage(_in_two(anchors, "h"))
-    # The filter only spares the shuffle rows that can't match; the join decides.
-    hits = split_by_filter(anchors, bloom_filter(shared, "h"), "h").where("may_exist").drop("may_exist").join(shared, "h", "left_semi")
-    at = cut_lineage(hits.groupBy("__key").agg(F.collect_set("pos").alias("at")))
-    wanted = split_by_filter(texts, bloom_filter(at, "__key"), "__key").where("may_exist").drop("may_exist").dropDuplicates(["__key"]).join(at, "__key")
-    runs = cut_lineage(wanted.select("__key", F.col("__text").cast("binary").alias("__text"), "at").mapInArrow(_run_rows(span, period), "__key bigint, pos int, g0 bigint, g1 bigint"))
-    found = runs.join(_in_two(runs, "g0", "g1"), ["g0", "g1"], "left_semi").select("__key", "pos").distinct()
+    found = _shared_positions(documents, key, text, span, period, cover)
     gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("__key").orderBy("pos"))
     return found.withColumn("new", F.least(F.lit(span), F.coalesce(gap, F.lit(span)))).groupBy("__key").agg(F.sum("new").cast("long").alias("n_shared")).withColumnRenamed("__key", key)
+
+
+def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+    """`key`, first_word and n_words of every stretch of a document that shared spans cover without a gap (positions from 0).
+
+    A stretch may be put together from spans shared with different documents. Cases as in `shared_words`.
+    """
+    w = Window.partitionBy("__key").orderBy("pos")
+    found = _shared_positions(documents, key, text, span, period, cover)
+    begins = F.coalesce(F.col("pos") - F.lag("pos").over(w) > span, F.lit(True)).cast("int")
+    numbered = found.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = numbered.groupBy("__key", "stretch").agg(F.min("pos").cast("long").alias("first_word"), (F.max("pos") - F.min("pos") + span).cast("long").alias("n_words"))
+    return spans.drop("stretch").withColumnRenamed("__key", key)
