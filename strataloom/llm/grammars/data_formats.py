@@ -104,3 +104,105 @@ def lex_toml(text: str) -> tuple[list[str], list[int], list[str]]:
     if stack or state == "value":
         raise LexError(len(text))
     return symbols, offsets, []
+
+
+_ESCAPE = re.compile(r'\\(?:u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|(["\\bfnrt]))')
+_PLAIN = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+
+
+def _part(raw: str) -> str:
+    """The name that a part of a key stands for."""
+    if raw[0] == "'":
+        return raw[1:-1]
+    if raw[0] == '"':
+        return _ESCAPE.sub(lambda m: _PLAIN.get(m[3], m[3]) if m[3] else chr(int(m[1] or m[2], 16)), raw[1:-1])
+    return raw
+
+
+def defined_twice(text: str, symbols: list[str], offsets: list[int]) -> int | None:
+    """Offset of the first key of a valid sequence of TOML tokens that defines again what is defined; None without one.
+
+    Every place in the document has a kind: `value`, `inline` (closed), `array`, `header` (a table
+    with its own header), `path` (made on the way to a header's table) or `dotted` (made by a
+    dotted key). Elements of arrays of tables and inline tables are places of their own.
+    """
+    kinds: dict[tuple, str] = {}
+    counts: dict[tuple, int] = {}
+    fresh = 0  # numbers inline tables inside arrays apart
+    section: tuple = ()
+    stack: list[tuple] = [()]  # of the inline tables and arrays around, where their keys lie
+    i, n = 0, len(symbols)
+
+    def key(i: int) -> tuple[list[str], int]:
+        parts = []
+        while symbols[i] in ("BARE", "STRING"):
+            # A token ends where it ends: bare ones at their last letter, quoted ones at their quote.
+            m = _TOML_KEY.match(text, offsets[i])
+            parts.append(_part(m[0]))
+            i += 1
+            if i < n and symbols[i] == ".":
+                i += 1
+            else:
+                break
+        return parts, i
+
+    def step(at: tuple, part: str) -> tuple:
+        at = (*at, part)
+        return (*at, counts[at]) if kinds.get(at) == "array" else at
+
+    while i < n:
+        symbol = symbols[i]
+        if symbol in ("[[", "[") and len(stack) == 1 and (i == 0 or symbols[i - 1] == "NEWLINE"):
+            start = offsets[i]
+            parts, i = key(i + 1)
+            i += 1
+            at: tuple = ()
+            for p in parts[:-1]:
+                at = step(at, p)
+                if kinds.setdefault(at, "path") in ("value", "inline"):
+                    return start
+            at = (*at, parts[-1])
+            kind = kinds.get(at)
+            if symbol == "[[":
+                if kind not in (None, "array"):
+                    return start
+                kinds[at], counts[at] = "array", counts.get(at, 0) + 1
+                section = (*at, counts[at])
+            else:
+                if kind not in (None, "path"):
+                    return start
+                kinds[at] = "header"
+                section = at
+            stack = [section]
+        elif symbol in ("BARE", "STRING") and (len(stack) == 1 and (i == 0 or symbols[i - 1] == "NEWLINE") or len(stack) > 1 and symbols[i - 1] in ("{", ",") and stack[-1] is not None):
+            start = offsets[i]
+            parts, i = key(i)
+            at = stack[-1]
+            for p in parts[:-1]:
+                at = (*at, p)
+                if kinds.get(at, "path") not in ("path", "dotted"):
+                    return start
+                kinds[at] = "dotted"
+            at = (*at, parts[-1])
+            if at in kinds:
+                return start
+            i += 1  # the equals sign
+            if symbols[i] == "{":
+                kinds[at] = "inline"
+                stack.append(at)
+            elif symbols[i] == "[":
+                kinds[at] = "value"
+                stack.append(None)
+            else:
+                kinds[at] = "value"
+            i += 1
+        else:
+            if symbol == "{":
+                fresh += 1
+                stack.append((fresh, None))
+            elif symbol == "[":
+                stack.append(None)
+            elif symbol in ("}", "]") and len(stack) > 1:
+                stack.pop()
+            i += 1
+    return None

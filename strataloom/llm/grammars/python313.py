@@ -41,13 +41,14 @@ yield <- 'yield' ('from' test / star_list?)
 star_list <- star_item (',' star_item)* ','?
 star_item <- '*' bitor / named
 named <- name ':=' test / test !':='
-test <- lambda / or_test ('if' or_test 'else' test)?
+alone <- (NAME / NUMBER / 'None' / 'True' / 'False') &(',' / ')' / ']' / '}' / ':' / NEWLINE)
+test <- alone / lambda / or_test ('if' or_test 'else' test)?
 lambda <- 'lambda' lambda_params? ':' test
 or_test <- not_test (('and' / 'or') not_test)*
 not_test <- 'not' not_test / comparison
 comparison <- bitor (comp_op bitor)*
 comp_op <- COMPARE / 'in' / 'not' 'in' / 'is' 'not' / 'is'
-bitor <- unary ((ARITH / '*' / SIGN / '@' / '|' / SLASH) unary)*
+bitor <- alone / unary ((ARITH / '*' / SIGN / '@' / '|' / SLASH) unary)*
 unary <- (SIGN / '~') unary / power
 power <- 'await'? primary ('**' unary)?
 primary <- atom trailer*
@@ -122,23 +123,26 @@ expression <- NEWLINE* star_list NEWLINE*
 fstring_part <- NEWLINE* (yield / star_list) '='? NEWLINE*
 """
 
-_OPS = sorted("... := -> ** // << >> <= >= == != += -= *= /= %= &= |= ^= @= **= //= <<= >>= ( ) [ ] { } , : . ; @ = + - * / % & | ^ ~ < > !".split(), key=len, reverse=True)
 _AUG = {"+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "@=", "**=", "//=", "<<=", ">>="}
 _COMPARE = {"<", ">", "<=", ">=", "==", "!="}
 _ARITH = {"//", "%", "&", "^", "<<", ">>", "/", "|"}
 _CLASS = {o: "AUG" for o in _AUG} | {o: "COMPARE" for o in _COMPARE} | {"+": "SIGN", "-": "SIGN"}
 _CLASS |= {o: "ARITH" for o in _ARITH - {"|", "/"}} | {"/": "SLASH"}
 _NUMBER = re.compile(r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?")
-_LEX = re.compile(
-    r"(?P<space>[ \t\f]+)|(?P<comment>\#[^\r\n]*)|(?P<cont>\\(?:\r\n|\r|\n))|(?P<nl>\r\n|\r|\n)|(?P<string>[A-Za-z]{0,2}(?:\"\"\"|'''|\"|'))|(?P<number>\d|\.\d)|(?P<name>[^\W\d]\w*)|(?P<op>" + "|".join(map(re.escape, _OPS)) + ")"
-)
+_OP = r"\*\*=?|//=?|>>=?|<<=?|\.\.\.|->|:=|[-+*/%&|^@=!<>]=?|[()\[\]{},:.;~]"
+_REST = r"""(?P<nl>\r\n|\r|\n)|(?P<comment>\#[^\r\n]*)|(?P<cont>\\(?:\r\n|\r|\n))|(?P<string>[A-Za-z]{0,2}(?:\"\"\"|\'\'\'|\"|\'))|(?P<number>\d|\.\d)"""
+_LEX = re.compile(rf"(?P<space>[ \t\f]+)|{_REST}|(?P<name>[^\W\d]\w*)|(?P<op>{_OP})")
+# The same tokens with the space before them; the common ones first.
+_TOKEN = re.compile(rf"""[ \t\f]*(?:(?P<name>[^\W\d]\w*+(?!["']))|(?P<op>(?!\.\d)(?:{_OP}))|{_REST}|(?P<joined>[^\W\d]\w*)|(?P<end>\Z))""")
+_WORDS = {w: w for w in KEYWORDS} | {"match": "MATCH", "case": "CASE", "type": "TYPE", "_": "UNDER"}
+_INDENT = re.compile(r"[ \t\f]*")
 _PREFIXES = {"", "r", "u", "b", "f", "br", "rb", "fr", "rf"}
 _ENDS = {q: re.compile(r"(?:\\.|\\\r\n|[^\\\n\r" + q + r"])*" + q, re.S) if len(q) == 1 else re.compile(r"(?:\\.|[^\\])*?" + q, re.S) for q in ('"', "'", '"""', "'''")}
 _FRAGILE = re.compile(r"\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?![0-9a-fA-F]{8})|N(?!\{[^}]+\}))")
 
 
-def _fstring(text: str, at: int, quote: str, raw: bool) -> tuple[int, list[str]]:
-    """End of an f-string's body and the sources of its replacement fields."""
+def _fstring(text: str, at: int, quote: str, raw: bool) -> tuple[int, list[tuple[int, int]]]:
+    """End of an f-string's body and where the sources of its replacement fields lie."""
     fields, i = [], at
     while i < len(text):
         c = text[i]
@@ -162,7 +166,7 @@ def _fstring(text: str, at: int, quote: str, raw: bool) -> tuple[int, list[str]]
     raise LexError(len(text))
 
 
-def _field(text: str, at: int, quote: str) -> tuple[int, list[str]]:
+def _field(text: str, at: int, quote: str) -> tuple[int, list[tuple[int, int]]]:
     depth, i, inner = 0, at, []
     while i < len(text):
         c = text[i]
@@ -186,10 +190,9 @@ def _field(text: str, at: int, quote: str) -> tuple[int, list[str]]:
         elif c == "}" and depth > 0:
             depth -= 1
         elif depth == 0 and (c == "}" or c == ":" or c == "!" and text[i + 1 : i + 2] != "="):
-            source = text[at:i]
-            if not source.strip():
+            if not text[at:i].strip():
                 raise LexError(i)
-            inner = [source, *inner]
+            inner = [(at, i), *inner]
             if c == "!":
                 m = re.compile(r"!\s*[sra]\s*(?=[:}])").match(text, i)
                 if not m:
@@ -219,8 +222,8 @@ def _field(text: str, at: int, quote: str) -> tuple[int, list[str]]:
     raise LexError(len(text))
 
 
-def lex(text: str) -> tuple[list[str], list[int], list[str]]:
-    """Token symbols, their offsets, and the sources of f-string fields."""
+def lex(text: str) -> tuple[list[str], list[int], list[tuple[int, int]]]:
+    """Token symbols, their offsets, and the spans of the sources of f-string fields."""
     symbols, offsets, fields = [], [], []
     indents, depth, i, n = [(0, 0)], [], 0, len(text)
     if text.startswith("\ufeff"):
@@ -230,16 +233,16 @@ def lex(text: str) -> tuple[list[str], list[int], list[str]]:
     fresh = True
     while i < n:
         if fresh and not depth:
-            col = alt = 0
-            start = i
-            while i < n and text[i] in " \t\f":
-                if text[i] == " ":
-                    col, alt = col + 1, alt + 1
-                elif text[i] == "\t":
-                    col, alt = (col // 8 + 1) * 8, alt + 1
-                else:
-                    col = alt = 0
-                i += 1
+            start, blank = i, _INDENT.match(text, i)[0]
+            i += len(blank)
+            col = alt = len(blank)
+            if blank.strip(" "):
+                col = alt = 0
+                for c in blank:
+                    if c == "\f":
+                        col = alt = 0
+                    else:
+                        col, alt = col + 1 if c == " " else (col // 8 + 1) * 8, alt + 1
             if i < n and text[i] in "#\r\n" or i >= n:
                 fresh = False
                 if i >= n:
@@ -269,11 +272,31 @@ def lex(text: str) -> tuple[list[str], list[int], list[str]]:
                         raise LexError(i)
                 else:
                     raise LexError(i)
-        m = _LEX.match(text, i)
+        m = _TOKEN.match(text, i)
         if m is None:
-            raise LexError(i)
-        kind, at, i = m.lastgroup, i, m.end()
-        if kind in ("space", "comment"):
+            raise LexError(_INDENT.match(text, i).end())
+        kind = m.lastgroup
+        at, i = m.span(kind)
+        if kind == "name" or kind == "joined":
+            word = text[at:i]
+            if not word.isascii() and not unicodedata.normalize("NFKC", word).isidentifier():
+                raise LexError(at)
+            symbols.append(_WORDS.get(word, "NAME"))
+            offsets.append(at)
+            continue
+        if kind == "op":
+            op = text[at:i]
+            if op in "([{":
+                depth.append(op)
+            elif op in ")]}":
+                if not depth or "([{".index(depth.pop()) != ")]}".index(op):
+                    raise LexError(at)
+            elif op == "!":
+                raise LexError(at)
+            symbols.append(_CLASS.get(op, op))
+            offsets.append(at)
+            continue
+        if kind == "comment" or kind == "end":
             continue
         if kind == "cont":
             if i >= n:
@@ -287,8 +310,9 @@ def lex(text: str) -> tuple[list[str], list[int], list[str]]:
             continue
         offsets.append(at)
         if kind == "string":
-            q = m[0].lstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-            prefix = m[0][: len(m[0]) - len(q)].lower()
+            opened = text[at:i]
+            q = opened.lstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+            prefix = opened[: len(opened) - len(q)].lower()
             if prefix not in _PREFIXES:
                 raise LexError(at)
             if "f" in prefix:
@@ -304,7 +328,7 @@ def lex(text: str) -> tuple[list[str], list[int], list[str]]:
                     raise LexError(at)
                 i = e.end()
             symbols.append("BYTES" if "b" in prefix else "STRING")
-        elif kind == "number":
+        else:
             m = _NUMBER.match(text, at)
             i = m.end()
             if re.fullmatch(r"0[\d_]*[1-9][\d_]*", m[0]):
@@ -312,26 +336,6 @@ def lex(text: str) -> tuple[list[str], list[int], list[str]]:
             if i < n and (text[i].isalnum() or text[i] == "_") and not re.compile(r"(?:and|else|for|if|in|is|not|or)\b").match(text, i):
                 raise LexError(i)
             symbols.append("NUMBER")
-        elif kind == "name":
-            word = m[0]
-            if not word.isascii():
-                if not unicodedata.normalize("NFKC", word).isidentifier():
-                    raise LexError(at)
-                symbols.append("NAME")
-            elif word in KEYWORDS:
-                symbols.append(word)
-            else:
-                symbols.append({"match": "MATCH", "case": "CASE", "type": "TYPE", "_": "UNDER"}.get(word, "NAME"))
-        else:
-            op = m[0]
-            if op in "([{":
-                depth.append(op)
-            elif op in ")]}":
-                if not depth or "([{".index(depth.pop()) != ")]}".index(op):
-                    raise LexError(at)
-            if op == "!":
-                raise LexError(at)
-            symbols.append(_CLASS.get(op, op))
     if symbols and symbols[-1] != "NEWLINE":
         symbols.append("NEWLINE")
         offsets.append(n)

@@ -1,10 +1,12 @@
 """Packrat parsing of token sequences with parsing-expression grammars.
 
 A grammar is text: `name <- expression` lines with `/` (ordered choice), `* + ?`, `!` and `&`
-(look-ahead), brackets, 'quoted' token symbols, UPPER-CASE token classes and rule names. Rules
-are compiled to closures over one token array; every rule's result is kept by position, so a
-parse is linear in the tokens. Choices look up the next symbol in the first sets of their
-alternatives. The furthest position at which a token didn't fit is reported.
+(look-ahead), brackets, 'quoted' token symbols, UPPER-CASE token classes and rule names. Each
+rule becomes one Python function of a position, without inner calls for anything but rules. A
+rule that can be tried twice at one position keeps its results by position, so a parse stays
+linear in the tokens. Choices look up the next symbol in the first sets of their alternatives.
+A first parse only decides; one that fails is repeated by functions that also note the furthest
+position at which a token didn't fit.
 """
 
 from __future__ import annotations
@@ -105,110 +107,141 @@ class Grammar:
                 return found, False
         return found, True
 
-    def compile(self) -> Callable[[list[str]], tuple[bool, int]]:
-        """A function of a list of token symbols: whether all of it fits, and the furthest failing token."""
-        state: dict = {}
-        table: dict[str, Callable[[int], int]] = {}
-        cells = {"sym": None, "far": 0}
-        symbols: list[str] = []
+    def _uses(self, e, name: str) -> int:
+        """How often an expression may try a rule at one position."""
+        kind, x = e
+        if kind == "sym":
+            return 0
+        if kind == "rule":
+            return int(x == name)
+        if kind == "choice":
+            return sum(self._uses(o, name) for o in x)
+        if kind != "seq":
+            return self._uses(x, name)
+        most = group = 0
+        for part in x:
+            group += self._uses(part, name)
+            most = max(most, group)
+            if not self._first(part)[1]:
+                group = 0
+        return most
+
+    def _kept(self) -> set[str]:
+        """Rules whose results are kept: what stands in two places may be tried twice at one position, and what calls a rule is worth it."""
+        calls = {n for n, e in self.rules.items() if any(self._places(e, m) for m in self.rules)}
+        return {n for n in calls if sum(self._uses(e, n) for e in self.rules.values()) > 1}
+
+    def _places(self, e, name: str) -> int:
+        """In how many places a rule stands in an expression."""
+        kind, x = e
+        return int(kind == "rule" and x == name) if kind in ("sym", "rule") else sum(self._places(o, name) for o in x) if kind in ("seq", "choice") else self._places(x, name)
 
-        def fail(i: int) -> int:
-            if i > cells["far"]:
-                cells["far"] = i
-            return -1
-
-        def build(e) -> Callable[[int], int]:
-            kind, x = e
-            if kind == "sym":
-                def terminal(i: int, x=x) -> int:
-                    return i + 1 if symbols[i] == x else fail(i)
-                return terminal
-            if kind == "rule":
-                return lambda i, x=x: table[x](i)
-            if kind == "seq":
-                parts = [build(p) for p in x]
-                if len(parts) == 2:
-                    a, b = parts
-                    def pair(i: int) -> int:
-                        i = a(i)
-                        return b(i) if i >= 0 else -1
-                    return pair
-                def sequence(i: int) -> int:
-                    for p in parts:
-                        i = p(i)
-                        if i < 0:
-                            return -1
-                    return i
-                return sequence
-            if kind == "choice":
-                options = [build(o) for o in x]
-                firsts = [self._first(o) for o in x]
-                known = frozenset().union(*(f for f, _ in firsts))
-                by = {s: [o for o, (f, n) in zip(options, firsts) if n or s in f] for s in known}
-                rest = [o for o, (_, n) in zip(options, firsts) if n]
-                def choose(i: int) -> int:
-                    for o in by.get(symbols[i], rest):
-                        j = o(i)
-                        if j >= 0:
-                            return j
-                    return fail(i)
-                return choose
-            inner = build(x)
-            first, empty = self._first(x)
-            if kind == "?":
-                def maybe(i: int) -> int:
-                    if not empty and symbols[i] not in first:
-                        fail(i)
-                        return i
-                    j = inner(i)
-                    return j if j >= 0 else i
-                return maybe
-            if kind in ("*", "+"):
-                def many(i: int) -> int:
-                    n = 0
-                    while empty or symbols[i] in first:
-                        j = inner(i)
-                        if j <= i:
-                            break
-                        i, n = j, n + 1
-                    else:
-                        fail(i)
-                    return i if n or kind == "*" else -1
-                return many
-            if kind == "!":
-                def absent(i: int) -> int:
-                    far = cells["far"]
-                    j = inner(i)
-                    cells["far"] = far
-                    return -1 if j >= 0 else i
-                return absent
-            return lambda i: i if inner(i) >= 0 else -1
-
-        def memoized(name: str, body: Callable[[int], int]) -> Callable[[int], int]:
-            kept = state[name] = {}
-            first, empty = self.firsts[name]
-
-            def rule(i: int) -> int:
-                if not empty and symbols[i] not in first:
-                    return fail(i)
-                j = kept.get(i)
-                if j is None:
-                    j = kept[i] = body(i)
-                return j
-
-            return rule
+    @staticmethod
+    def _is_class(e) -> bool:
+        return e[0] == "sym" or e[0] == "choice" and all(o[0] == "sym" for o in e[1])
 
+    def _code(self, e, at: str, lines: list[str], pad: str, notes: bool) -> None:
+        """Lines that move the position in variable `at` past an expression, or set it to -1."""
+        kind, x = e
+        inner, depth = pad + " ", len(lines)
+        fail = [f"{pad}if {at} < 0: far({at}q{depth})"] if notes else []
+        keep = [f"{pad}{at}q{depth} = {at}"] if notes else []
+        if kind == "sym":
+            lines += [*keep, f"{pad}{at} = {at} + 1 if S[{at}] == {x!r} else -1", *fail]
+        elif kind == "rule" and (x in self._once and len(pad) < 40 or self._is_class(self.rules[x])):
+            self._code(self.rules[x], at, lines, pad, notes)  # a rule that stands in one place, or for some tokens, is written there
+        elif kind == "rule":
+            first, empty = self.firsts[x]
+            lines += [f"{pad}{at} = r_{x}({at})"] if empty else [*keep, f"{pad}{at} = r_{x}({at}) if S[{at}] in {self._set(first)} else -1", *fail]
+        elif kind == "seq":
+            self._code(x[0], at, lines, pad, notes)
+            if len(x) > 1:
+                lines.append(f"{pad}if {at} >= 0:")
+                self._code(("seq", x[1:]), at, lines, inner, notes)
+        elif kind == "choice":
+            if not notes and self._is_class(e):
+                lines.append(f"{pad}{at} = {at} + 1 if S[{at}] in {self._set(frozenset(o[1] for o in x))} else -1")
+                return
+            start = f"{at}c{depth}"
+            lines += [f"{pad}{start} = {at}", f"{pad}{at} = -1"]
+            for o in x:
+                first, empty = self._first(o)
+                test = "" if empty else f" and S[{start}] in {self._set(first)}"
+                lines += [f"{pad}if {at} < 0{test}:", f"{inner}{at} = {start}"]
+                self._code(o, at, lines, inner, notes)
+            lines += [f"{pad}if {at} < 0: far({start})"] if notes else []
+        elif kind == "?":
+            first, empty = self._first(x)
+            start = f"{at}c{depth}"
+            lines += [f"{pad}{start} = {at}", pad + ("if True:" if empty else f"if S[{at}] in {self._set(first)}:")]
+            self._code(x, at, lines, inner, notes)
+            lines += [f"{inner}if {at} < 0: {at} = {start}"] + ([f"{pad}else: far({start})"] if notes and not empty else [])
+        elif kind in ("*", "+"):
+            first, empty = self._first(x)
+            start, begun = f"{at}c{depth}", f"{at}b{depth}"
+            lines += [f"{pad}{begun} = {at}"] if kind == "+" else []
+            lines += [pad + ("while True:" if empty else f"while S[{at}] in {self._set(first)}:"), f"{inner}{start} = {at}"]
+            self._code(x, at, lines, inner, notes)
+            lines += [f"{inner}if {at} <= {start}:", f"{inner} {at} = {start}", f"{inner} break"]
+            lines += [f"{pad}else: far({at})"] if notes and not empty else []
+            lines += [f"{pad}if {at} == {begun}: {at} = -1"] if kind == "+" else []
+        else:
+            start = f"{at}c{depth}"
+            lines.append(f"{pad}{start} = {at}")
+            self._code(x, at, lines, pad, notes and kind == "&")  # what must not follow is no place of failure
+            lines.append(f"{pad}{at} = {start} if {at} {'<' if kind == '!' else '>='} 0 else -1")
+
+    def _set(self, symbols: frozenset) -> str:
+        return self._sets.setdefault(symbols, f"F{len(self._sets)}")
+
+    def _functions(self, symbols: list[str], notes: bool) -> tuple[Callable[[int], int], list[dict], list[int]]:
+        """The start rule as a function, what the rules keep, and the cell of the furthest failure."""
+        self._sets: dict[frozenset, str] = {}
+        kept, lines, furthest = self._kept(), [], [0]
+        self._once = {n for n in self.rules if n != self.start and sum(self._places(e, n) for e in self.rules.values()) == 1 and not self._places(self.rules[n], n)}
         for name, e in self.rules.items():
-            table[name] = memoized(name, build(e))
+            lines.append(f"def r_{name}(i):")
+            if name in kept:
+                lines += [f" p = k_{name}.get(i)", " if p is not None: return p"]
+            lines.append(" p = i")
+            self._code(e, "p", lines, " ", notes)
+            lines += [f" k_{name}[i] = p", " return p"] if name in kept else [" return p"]
+
+        def far(i: int) -> None:
+            if i > furthest[0]:
+                furthest[0] = i
+
+        tables = {f"k_{n}": {} for n in kept}
+        space = {"S": symbols, "far": far, **tables, "": None}
+        code = compile("\n".join(lines), f"<grammar {self.start}>", "exec")
+        space.update({name: symbols_ for symbols_, name in self._sets.items()})
+        exec(code, space)  # the text is made from the grammar alone
+        return space[f"r_{self.start}"], list(tables.values()), furthest
+
+    def compile(self) -> Callable[[list[str]], tuple[bool, int]]:
+        """A function of a list of token symbols: whether all of it fits, and the furthest failing token."""
+        symbols: list[str] = []
+        decide, kept, _ = self._functions(symbols, False)
+        locate: list = []
 
         def run(tokens: list[str]) -> tuple[bool, int]:
             symbols[:] = tokens
-            symbols.append("END")
-            symbols.append("END")
-            cells["far"] = 0
-            for kept in state.values():
-                kept.clear()
-            end = table[self.start](0)
-            return end == len(tokens), max(cells["far"], end)
+            symbols.extend(("END", "END"))
+            try:
+                if decide(0) == len(tokens):
+                    return True, len(tokens)
+            finally:
+                for k in kept:
+                    k.clear()
+            if not locate:
+                locate.extend(self._functions(symbols, True))
+            again, kept_again, furthest = locate
+            furthest[0] = 0
+            try:
+                end = again(0)
+            finally:
+                for k in kept_again:
+                    k.clear()
+            return False, max(furthest[0], end)
 
         return run

@@ -2,19 +2,15 @@
 
 Packrat grammars decide whether the whole content of a file follows the syntax of its
 extension's language; a file that a grammar refuses is reported with the furthest place where
-no token fitted and a likely cause. Where the standard library has the language's own parser,
-it confirms the refusal.
+no token fitted and a likely cause. The grammars alone decide; no parser of the executors' own
+Python is asked.
 """
 
 from __future__ import annotations
 
-import ast
 import functools
-import json
 import re
 import sys
-import tomllib
-import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,7 +24,9 @@ from strataloom.session import spread
 # Language of each extension.
 LANGUAGES = {"py": "python", "java": "java", "json": "json", "toml": "toml"}
 _CONFLICT = re.compile(r"(?m)^(?:<{7}(?: .*)?|\|{7}(?: .*)?|={7}|>{7}(?: .*)?)\r?$")
-_DEPTH = 40_000  # nested levels; the parsers recurse in Python frames, which are kept on the heap
+_STATEMENT = re.compile(r"(?m)^[ \t]*(?:(?:async|def|class|import|from|if|for|while|try|with|return)\b|@?\w+[ \t]*[=(])")
+#: Frames of the parsers, which lie on the heap: some 100,000 nested brackets. What is nested deeper isn't decided but reported.
+MOST_FRAMES = 1_000_000
 
 
 @functools.lru_cache(maxsize=None)
@@ -41,65 +39,57 @@ def _parser(language: str) -> tuple[Callable, Callable, Callable | None]:
     return lexer, Grammar(grammar, "file").compile(), field
 
 
-def _refusal(language: str, text: str) -> int | None:
-    """Offset of the furthest failure of the grammar; None if it takes the whole text."""
+def _refusal(language: str, text: str) -> tuple[int, str] | None:
+    """Offset of the furthest failure of the grammar and `syntax`, or `too_deep`; None if it takes the whole text."""
+    if sys.getrecursionlimit() < MOST_FRAMES:
+        sys.setrecursionlimit(MOST_FRAMES)
     lexer, run, field = _parser(language)
     try:
         symbols, offsets, fields = lexer(text)
         fits, far = run(symbols)
         if not fits:
-            return offsets[far] if far < len(offsets) else len(text)
-        for source in fields:
-            inner = lexer(f"({source}\n)")[0][1:]
-            if not field(inner[: inner.index("NEWLINE") - 1] if "NEWLINE" in inner else inner[:-1])[0]:
-                return max(0, text.find(source))
+            return offsets[far] if far < len(offsets) else len(text), "syntax"
+        for begin, end in fields:
+            inner, at, _ = lexer(f"({text[begin:end]}\n)")
+            close = inner.index("NEWLINE") - 1 if "NEWLINE" in inner else len(inner) - 1
+            fits, far = field(inner[1:close])
+            if not fits:
+                return begin + at[far + 1] - 1, "syntax"  # the bracket before the source counts as one
+        if language == "toml" and (at := data_formats.defined_twice(text, symbols, offsets)) is not None:
+            return at, "syntax"
     except LexError as e:
-        return min(e.at, len(text))
+        return min(e.at, len(text)), "syntax"
     except RecursionError:
-        return None if _confirmed(language, text) is None else len(text)
+        return len(text), "too_deep"
     return None
 
 
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
-
-
-def _confirmed(language: str, text: str) -> bool | None:
-    """Whether the language's own parser refuses the text too; None where there is none."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            if language == "python":
-                ast.parse(text)
-            elif language == "json":
-                json.loads(text, parse_constant=_no_constant)
-            elif language == "toml":
-                tomllib.loads(text)
-            else:
-                return None
-        return False
-    except (SyntaxError, ValueError):
-        return True
-    except (RecursionError, MemoryError):
-        return None
+def _other_language(language: str, text: str) -> bool:
+    """Whether the text as a whole is of another of the languages; a blank one is of none, literals alone are no Python and headers alone no TOML."""
+    others = [x for x in LANGUAGES.values() if x != language and (x != "python" or _STATEMENT.search(text)) and (x != "toml" or "=" in text)]
+    return bool(text.strip()) and any(_refusal(x, text) is None for x in others)
 
 
 def check(language: str, text: str) -> tuple[int, int, str] | None:
     """Line and column (1-based) of the furthest failure, and its cause; None for a valid text.
 
-    Cause is merge_conflict, truncated (the text ends where more was due) or syntax.
+    Cause is merge_conflict, wrong_extension (the text is valid in another of the languages),
+    truncated (it ends where more was due), too_deep (nested beyond what the parser takes, so not
+    known to be valid) or syntax.
     """
-    if sys.getrecursionlimit() < _DEPTH:
-        sys.setrecursionlimit(_DEPTH)
-    at = _refusal(language, text)
-    if at is None or _confirmed(language, text) is False:
+    found = _refusal(language, text)
+    if found is None:
         return None
+    at, cause = found
     line = text.count("\n", 0, at) + 1
     column = at - (text.rfind("\n", 0, at) + 1) + 1
-    if _CONFLICT.search(text):
-        cause = "merge_conflict"
-    else:
-        cause = "truncated" if at >= len(text.rstrip()) else "syntax"
+    if cause == "syntax":
+        if _CONFLICT.search(text):
+            cause = "merge_conflict"
+        elif _other_language(language, text):
+            cause = "wrong_extension"
+        elif at >= len(text.rstrip()):
+            cause = "truncated"
     return line, column, cause
 
 

@@ -48,11 +48,15 @@ JSON = ' {"a": [1, -0.5e+3, true, null, "\\u00e9\\n"], "b": {}} '
 VALID = {"python": PYTHON, "java": JAVA, "toml": TOML, "json": JSON}
 
 
+def _no_constant(name):
+    raise ValueError(name)
+
+
 def real(language, text):
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            {"python": ast.parse, "json": lambda t: json.loads(t, parse_constant=s._no_constant), "toml": tomllib.loads}[language](text)
+            {"python": ast.parse, "json": lambda t: json.loads(t, parse_constant=_no_constant), "toml": tomllib.loads}[language](text)
         return True
     except (SyntaxError, ValueError):
         return False
@@ -72,8 +76,22 @@ def test_mutations_agree_with_the_languages_own_parser(language):
         grammar = s._refusal(language, y) is None
         if grammar != real(language, y):
             differ.append((i, y[max(0, i - 30) : i + 30], grammar))
-    # TOML's own parser also refuses keys that are defined twice, which no grammar states.
-    assert len([d for d in differ if not (language == "toml" and d[2])]) == 0, differ[:5]
+    assert differ == [], differ[:5]
+
+
+def test_keys_of_toml_that_are_defined_twice():
+    rng, differ, seen = random.Random(5), [], set()
+    keys = ["a", "b", "a.b", "b.a", '"a"', "'b'.c", "a.b.c", "c"]
+    for _ in range(4000):
+        lines = []
+        for _ in range(rng.randint(2, 5)):
+            k, value = rng.choice(keys), rng.choice(["1", "{}", "{ a = 1, b.c = 2 }", "{ a.b = 1, a.c = 2 }", "{ a = 1, a.b = 2 }", "[{ a = 1 }, { a = 2 }]", "[\n1,\n]"])
+            lines.append(rng.choice([f"[{k}]", f"[[{k}]]", f"{k} = {value}", f"{k} = {value}"]))
+        text = "\n".join(lines)
+        seen.add(real("toml", text))
+        if (s._refusal("toml", text) is None) != real("toml", text):
+            differ.append(text)
+    assert seen == {True, False} and differ == [], (len(differ), differ[:3])
 
 
 def test_every_lost_bracket_of_java_is_noticed():
@@ -102,6 +120,42 @@ def test_empty_and_odd_texts():
     assert s.check("python", "x = [" + "1, " * 50_000 + "]") is None
 
 
+DEEP = 5000
+NESTED = {
+    "python": ("x = " + "[" * DEEP, "]" * DEEP + "\n"), "json": ('{"a":' * DEEP + "1", "}" * DEEP), "toml": ("a = " + "[" * DEEP, "]" * DEEP),
+    "java": ("class A { int x = " + "(" * DEEP + "1", ")" * DEEP + "; }"),
+}
+
+
+@pytest.mark.parametrize("language", NESTED)
+def test_deep_files_are_decided_like_flat_ones(language):
+    before, after = NESTED[language]
+    assert s.check(language, before + after) is None
+    assert s.check(language, before)[2] == "truncated"
+    assert s.check(language, before + after[1:]) is not None
+    assert s.check(language, before + "," + after) is not None if language != "json" else s.check(language, before + ",," + after) is not None
+
+
+def test_what_is_too_deep_is_never_valid(monkeypatch):
+    monkeypatch.setattr(s, "MOST_FRAMES", 3000)
+    limit = s.sys.getrecursionlimit()
+    try:
+        s.sys.setrecursionlimit(3000)
+        assert s.check("java", "class A { int x = " + "(" * 20_000 + "1" + ")" * 20_000 + "; }")[2] == "too_deep"
+    finally:
+        s.sys.setrecursionlimit(limit)
+
+
+def test_place_of_a_failure_inside_an_f_string():
+    text = "# a b is fine here\nx = 1\ny = f'{a b} {c}'\n"
+    assert s.check("python", text)[:2] == (3, 10)
+
+
+@pytest.mark.parametrize("language, text", [("java", "def f(x):\n    return x\n"), ("python", "class A { int x; }"), ("json", "a = 1\n[b]\nc = 2\n"), ("toml", '{"a": [1, 2]}'), ("java", '{"a": true}')])
+def test_wrong_extension(language, text):
+    assert s.check(language, text)[2] == "wrong_extension"
+
+
 def test_furthest_failure():
     assert s.check("python", "a = 1\nb = = 2\n")[:2] == (2, 5)
     assert s.check("java", "class A {\n  int x\n}")[:2] == (3, 1)
