@@ -1,11 +1,12 @@
 """Credentials embedded in source code and configuration: found, and redacted in place.
 
-Literals near assignments, headers, addresses and commands are segmented by Viterbi into words
-of a dictionary that the corpus' own symbols and calls give. What no word explains is a
-residual; a long one in the context of a key or token is a secret, with digits or without. A
-password may also be made of words, be short, or hold spaces where it is quoted. Placeholders (of
-three different characters at most, too), references, hashes, ids, public keys, certificates and
-messages about a password are excluded.
+Literals near assignments, headers, addresses, commands and remarks are segmented by Viterbi into
+words of a dictionary that the corpus' own symbols, calls and code give. What no word explains is
+the residual, and the residual decides on every candidate: how much of it a secret needs depends
+on the context, less after the beginning of a known token, little for a password, most of the
+body for a private key. Placeholders (made of words that say so, or of three different characters
+at most), references, hashes, ids, public keys, certificates and messages about a password are
+excluded. No candidate is lost for its length or for the length of the name before it.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.session import spread
 
 #: Words of the dictionary at most (by number of uses); the bound of what is sent to the tasks.
 DICTIONARY_WORDS = 20_000
-#: Characters that no word explains, from which a value of a key or token is a secret.
-LEAST_RESIDUAL = 8
+#: Words rarer than this are left out: chance repetitions inside random values are no words.
+LEAST_SHARE = 1e-6
+#: By context the characters that no word may explain, and their share of the value, from which it is a credential.
+LEAST_RESIDUAL = {"known": (4, 0.2), "secret": (8, 0.4), "password": (4, 0.0), "password with digits": (1, 0.0), "pem": (16, 0.5)}
 
 # Last words of names that hold passwords, other secrets, and what only looks so.
 PASSWORD_NAMES = {"password", "passwd", "passphrase", "pass", "pwd", "pw", "passcode", "pin"}
@@ -32,8 +35,10 @@ HASH_NAMES = {"hash", "sha", "sha1", "sha256", "sha512", "md5", "digest", "check
 # Beginnings of known tokens.
 _KNOWN = r"AKIA[0-9A-Z]{16}\b|ASIA[0-9A-Z]{16}\b|xox[a-z]-[\w-]{10,}|sk[-_](?:live_|test_|proj-)?[A-Za-z0-9_-]{16,}|[a-z]{2,5}_live_[A-Za-z0-9]{12,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|gh[pousr]_\w{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|AIza[\w-]{30,}|npm_\w{30,}"
 _NAMES = "password|passwd|passphrase|passcode|pass|pwd|pw|secret|token|apikey|key|credentials?|creds?|authorization|auth|bearer|tok|login"
-_PLACEHOLDER = re.compile(
-    r"(?i)\$\{|\{\{|^\{.*\}$|^<.*>$|^\$\(?\w|^%\w|%\(|^\[.*\]$|change[_-]?me|replace[_-]?me|your[_-]|insert[_-]|dummy|example|placeholder|redacted|removed|hidden|^(?:secret|password|token|none|null|true|false|test|foo|bar|todo|tbd)$|\.\.\.|…|not[_-]a[_-]|fake|sample|-for-docs|key-here|<[\w -]+>|x{4,}|\*{3,}|(?:^|[^0-9a-z])0{8,}"
+_PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|^\{.*\}$|^<.*>$|^\$\(?\w|^%\w|%\(|^\[.*\]$|\.\.\.|…|<[\w -]+>|x{4,}|\*{3,}|(?:^|[^0-9a-z])0{8,}")
+# Words of which placeholders are made.
+PLACEHOLDER_WORDS = set(
+    "a an any actual added api app be before bar changeme change client demo docs dummy empty enter example fake false fill foo for from goes here hidden in insert is it key me missing mock my new no none not null of or passphrase passwd password placeholder please put real redacted removed replace replaceme sample secret set some tbd test testing that the this to todo token true use user value with you your".split()
 )
 # Words of messages; a text with spaces that has two of them, or names a credential, isn't a passphrase.
 _MESSAGE = re.compile(rf"(?i)\b(?:{_NAMES})s?\b|\b(?:a|an|and|are|at|be|been|between|can|cannot|can't|contain|contains|did|do|does|empty|enter|for|from|has|have|if|in|invalid|is|it|least|missing|must|no|not|of|or|please|required|should|than|the|to|too|was|with|wrong|you|your)\b")
@@ -44,7 +49,7 @@ _REFERENCE = re.compile(r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$|(?i:^(?:vault|env|file
 # Where a credential may begin: cheap literals first, the patterns below only there.
 _HINTS = re.compile(
     r"private key|akia|asia|xox|sk[-_]|_live_|eyj|gh[pousr]_|github_pat_|glpat-|aiza|npm_|://|pass|pwd|pw|secret|token|key|cred|auth|bearer|basic |tok|login|-u |-p"
-    r"|(?:#|//) ?[a-z][a-z ]{0,30}: ?(?=[^\s\"']{16,}(?:\r?\n|$))|[\"'][;,)]* {1,4}(?:#|//) "
+    r"|(?:#|//) ?[a-z][a-z ]*+: ?(?=[^\s\"']{16,}(?:\r?\n|$))|(?:#|//) ?[a-z][\w .@:-]*? / (?=[^\s\"'/]{6,}[ \t]*(?:\r?\n|$))|[\"'][;,)]* {1,4}(?:#|//) "
 )
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KNOWN_AT = re.compile(rf"(?:{_KNOWN})")
@@ -52,18 +57,18 @@ _USER = re.compile(r"://[^\s:/@\"'`{}<>]*:(?=[^\s\"'`@]+@[\w\[])")
 _HEAD = re.compile(r"(?:Bearer|Basic|(?<=Authorization: )Token) +(?=[\w+/=.~-]{8,})", re.I)
 _FLAG = re.compile(r"(?:(?<=[\s\"'])--?(?:password|passwd|pass|token|secret|api-key)(?:=| +)|(?<=\s)-u +[\w.-]+:|(?<=\s)-p(?=[^\s-]))[\"']?", re.I)
 _NAMED = re.compile(
-    rf"""(?:{_NAMES})(?:_?\d{{1,3}})?(?:["'\]]+\)?)?[\ \t]*(?::[\ \t]*[A-Za-z_][\w\[\].|,\ ]{{0,40}}?[\ \t]*(?==))?(?:===?|!=|:=|=>|=|:|,|\.equals(?:IgnoreCase)?\()[\ \t]*""", re.X | re.I
+    rf"""(?:{_NAMES})(?:_?\d{{1,3}})?(?:["'\]]+\)?)?[\ \t]*(?::[\ \t]*[A-Za-z_][\w\[\].|,\ \t]*+(?==))?(?:===?|!=|:=|=>|=|:|,|\.equals(?:IgnoreCase)?\()[\ \t]*""", re.X | re.I
 )
 # Words of a comment that mark the literal before it, and labels of comments that don't.
 _REMARK = re.compile(r"(?i)\b(?:keys?|tokens?|accounts?|share|secret|password|credentials?|login|private|rotate|prod|production|staging|temporary|remove)\b")
-_COMMENT = re.compile(r"(?:#|//) ?([A-Za-z][A-Za-z ]{0,30}): ?(?=[^\s\"']{16,}(?:\r?\n|$))")
+_COMMENT = re.compile(r"(?:#|//) ?([A-Za-z][A-Za-z ]*+): ?(?=[^\s\"']{16,}(?:\r?\n|$))")
+_LOGIN = re.compile(r"(?:#|//) ?([A-Za-z][\w .@:-]*?) / (?=[^\s\"'/]{6,}[ \t]*(?:\r?\n|$))")
 _NO_LABEL = re.compile(r"(?i)\b(?:see|sha\d*|md5|hash|checksum|digest|commit|revision|etag|url|link|source|ticket|id|uuid|file|path|noqa|type)\b")
 _NAME_END = re.compile(_NAMES, re.I)
 _BODY = re.compile(r"(?:\\n|[\"'\s+\\rn]|\r?\n|[ \t*#])*((?:[A-Za-z0-9+/=:, -]{16,}(?:\\n|[\"'\s+\\]|\r?\n)*)+)")
-_VALUES = {"user": re.compile(r"[^\s\"'`]*(?=@)"), "query": re.compile(r"[^\s\"'`&;,]+"), "head": re.compile(r"[\w+/=.~-]+"), "flag": re.compile(r"[^\s\"'`]+"), "comment": re.compile(r"\S+")}
+_VALUES = {"user": re.compile(r"[^\s\"'`]*(?=@)"), "query": re.compile(r"[^\s\"'`&;,]+"), "head": re.compile(r"[\w+/=.~-]+"), "flag": re.compile(r"[^\s\"'`]+"), "comment": re.compile(r"\S+"), "remembered": re.compile(r"\S+")}
 _OPENED = re.compile(r"\([ \t]*\\?\r?\n?[ \t]*(?=[rRbBuU]{0,2}[\"'])")
 _BARE = re.compile(r"[^\s\"'`,;]+")
-_BACK = re.compile(r"[\w.\-]*$")
 _STRING = re.compile(r"[rRbBuUfF]{0,2}(\"\"\"|'''|\"|')")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NEXT_PIECE = re.compile(r"[ \t]*\\?\r?\n?[ \t]*(?:\+[ \t]*)?\\?\r?\n?[ \t]*(?:\+[ \t]*)?[rRbBuU]{0,2}([\"'])")
@@ -99,7 +104,20 @@ class Dictionary:
 
 
 def _is_placeholder(value: str) -> bool:
-    return bool(_PLACEHOLDER.search(value)) or len(set(value)) <= 3 or bool(_REFERENCE.search(value))
+    words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", value)]
+    only_words = bool(words) and not re.search(r"\d{3}", value) and all(w in PLACEHOLDER_WORDS for w in words)
+    return only_words or bool(_PLACEHOLDER.search(value)) or len(set(value)) <= 3 or bool(_REFERENCE.search(value))
+
+
+def _name_start(code: str, at: int) -> int:
+    """Where the name that goes on at `at` begins."""
+    while at and (code[at - 1].isalnum() or code[at - 1] in "_.-"):
+        at -= 1
+    return at
+
+
+def _line_start(code: str, at: int) -> int:
+    return code.rfind("\n", 0, at) + 1
 
 
 def _name_kind(name: str) -> str:
@@ -121,16 +139,15 @@ def _accept(kind: str, value: str, words: Dictionary) -> bool:
     value = value.strip()
     if not value or (kind != "password" and " " in value) or _is_message(value) or _is_placeholder(value) or _UUID.match(value) or _HASH.match(value):
         return False
-    if kind == "known":
-        return True
-    if value.startswith(("http://", "https://", "data:", "ssh-")) or re.fullmatch(r"[\d.,:x/ -]+", value):
+    if kind != "known" and (value.startswith(("http://", "https://", "data:", "ssh-")) or re.fullmatch(r"[\d.,:x/ -]+", value)):
         return False
     rest = words.residual(value)
-    if kind == "password":
-        if re.fullmatch(r"[\w.-]+(?:/[\w.-]+)+", value) and rest < LEAST_RESIDUAL:
+    if kind == "password" and re.search(r"\d", value):
+        if re.fullmatch(r"[\w.-]+(?:/[\w.-]+)+", value) and rest < LEAST_RESIDUAL["secret"][0]:
             return False  # a path of words
-        return bool(re.search(r"\d", value)) or rest >= 4
-    return rest >= LEAST_RESIDUAL and rest >= 0.4 * len(value)
+        kind = "password with digits"
+    least, share = LEAST_RESIDUAL[kind]
+    return rest >= least and rest >= share * len(value)
 
 
 def _pieces(code: str, at: int, configuration: bool) -> list[tuple[int, int]]:
@@ -163,14 +180,14 @@ def _pieces(code: str, at: int, configuration: bool) -> list[tuple[int, int]]:
 def _at(code: str, hint: str, at: int) -> tuple[str, int, int] | None:
     """Kind of the candidate at a hint, where it begins and where its value does."""
     if hint == "private key":
-        start = code.rfind("-----BEGIN", max(0, at - 40), at)
+        start = code.rfind("-----BEGIN", _line_start(code, at), at)
         m = _PEM.match(code, start) if start >= 0 else None
         return ("pem", start, m.end()) if m else None
     if hint == "://":
         return ("user", at, m.end()) if (m := _USER.match(code, at)) else None
     if hint[0] in "#/":
-        m = _COMMENT.match(code, at)
-        return ("comment", at, m.end()) if m and not _NO_LABEL.search(m[1]) else None
+        kind, m = ("comment", _COMMENT.match(code, at)) if not hint.endswith(" / ") else ("remembered", _LOGIN.match(code, at))
+        return (kind, at, m.end()) if m and not _NO_LABEL.search(m[1]) else None
     if hint[0] in "\"'":
         start = code.rfind(hint[0], code.rfind("\n", 0, at) + 1, at)
         line_end = code.find("\n", at)
@@ -189,36 +206,44 @@ def _at(code: str, hint: str, at: int) -> tuple[str, int, int] | None:
             if back >= 0 and (m := _FLAG.match(code, back)):
                 return ("flag", back, m.end())
     if m := _NAMED.match(code, at):
-        name_start = _BACK.search(code, max(0, at - 80), at).start()
+        name_start = _name_start(code, at)
         if code[name_start - 1 : name_start] in ("?", "&", ";") and code[m.end() - 1 : m.end()] == "=" and name_start:
             return ("query", name_start, m.end())
         return ("named", at, m.end())
     return None
 
 
+def _accept_body(body: str, words: Dictionary) -> bool:
+    """Whether what follows a BEGIN line is the body of a key: long runs that words don't explain."""
+    runs = re.findall(r"[A-Za-z0-9+/=]{16,}", body)
+    least, share = LEAST_RESIDUAL["pem"]
+    return any(words.residual(run) >= max(least, share * len(run)) for run in runs if len(run) >= 24)
+
+
 def _judge(code: str, kind: str, at: int, value_at: int, configuration: bool, words: Dictionary) -> list[tuple[int, int]]:
     """Spans of the credential of a candidate; none if it isn't one."""
     if kind == "pem":
         body = _BODY.match(code, value_at)
-        if not body or not re.search(r"[A-Za-z0-9+/=]{24,}", body[1]):
+        if not body or not _accept_body(body[1], words):
             return []
         return [(at, value_at)] + [(body.start(1) + x.start(), body.start(1) + x.end()) for x in re.finditer(r"[A-Za-z0-9+/=]{16,}", body[1])]
     if kind == "known":
         spans = _pieces(code, at - 1, False) if at and code[at - 1] in "\"'" else []
         if len(spans) < 2:
             spans = [_KNOWN_AT.match(code, at).span()]
-        before = code[max(0, at - 120) : at]
-        fine = _accept("known", "".join(code[a:b] for a, b in spans), words) and not re.search(r"(?i)base64,\S*$|ssh-\w+ \S*$", before)
+        before = code[_line_start(code, at) : at].split()
+        blob = bool(before) and code[at - 1] not in " \t" and "base64," in before[-1].lower() or any(w.startswith("ssh-") or "\"ssh-" in w for w in before[-2:])
+        fine = not blob and _accept("known", "".join(code[a:b] for a, b in spans), words)
         return spans if fine else []
     if kind == "named":
         name_end = _NAME_END.match(code, at).end()
-        as_kind = _name_kind(code[_BACK.search(code, max(0, at - 80), at).start() : name_end])
+        as_kind = _name_kind(code[_name_start(code, at) : name_end])
         spans = _pieces(code, value_at, configuration) if as_kind else []
         value = "".join(code[a:b] for a, b in spans)
         return spans if spans and "://" not in value and _accept(as_kind, value, words) else []
     if kind == "remarked":
         end = code.find(code[at], value_at)
-        name = re.search(r"([\w.]*)[\"'\]]*\s*(?:=|:)\s*$", code[max(0, at - 80) : at])
+        name = re.search(r"([\w.]*)[\"'\]]*\s*(?:=|:)\s*$", code[_line_start(code, at) : at])
         value = code[value_at:end]
         fine = name and not (set(w.lower() for w in _PARTS.findall(name[1])[-1:]) & HASH_NAMES) and len(value) >= 16 and _accept("secret", value, words)
         return [(value_at, end)] if fine else []
@@ -227,7 +252,7 @@ def _judge(code: str, kind: str, at: int, value_at: int, configuration: bool, wo
         return []
     if code[at:value_at] == "-p" and re.fullmatch(r"[a-z]{1,5}", stop[0]):
         return []  # an option such as -path, or a line that a patch removes
-    as_kind = "password" if kind in ("user", "flag") or _name_kind(code[at:value_at].rstrip("=")) == "password" else "secret"
+    as_kind = "password" if kind in ("user", "flag", "remembered") or _name_kind(code[at:value_at].rstrip("=")) == "password" else "secret"
     return [stop.span()] if _accept(as_kind, stop[0], words) else []
 
 
@@ -259,11 +284,16 @@ def redact(code: str, secrets: list[list[tuple[int, int]]], mark: str = "REDACTE
 
 
 def dictionary(chunks: DataFrame, most: int = DICTIONARY_WORDS) -> dict[str, int]:
-    """The words of all symbols and calls with their number of uses, the `most` frequent of them."""
-    names = chunks.select(F.explode(F.concat(F.array(F.coalesce("symbol", F.lit(""))), F.coalesce("calls", F.array().cast("array<string>")))).alias("name"))
-    parts = names.select(F.explode(F.regexp_extract_all("name", F.lit("[A-Z]?[a-z]{2,}"), F.lit(0))).alias("word"))
+    """The words of all symbols, calls and codes with their number of uses, the `most` frequent of them.
+
+    Words have three letters or more and at least `LEAST_SHARE` of all uses.
+    """
+    names = F.concat_ws(" ", "symbol", "calls", "code")
+    parts = chunks.select(F.explode(F.regexp_extract_all(names, F.lit("[A-Z]?[a-z]{2,}"), F.lit(0))).alias("word"))
     counted = parts.groupBy(F.lower("word").alias("word")).count().where("count > 1 and length(word) > 2")
-    return {r["word"]: r["count"] for r in counted.orderBy(F.desc("count"), "word").limit(most).collect()}
+    total = F.sum("count").over(Window.partitionBy())
+    best = counted.orderBy(F.desc("count"), "word").limit(most)  # a bounded table, so its total is one small task
+    return {r["word"]: r["count"] for r in best.withColumn("total", total).where(F.col("count") >= LEAST_SHARE * F.col("total")).collect()}
 
 
 def embedded_credentials(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -35,6 +35,30 @@ def test_look_alikes(code, bare):
     assert lines(code, bare) == []
 
 
+LONG = [
+    f'url = "postgres://{"u" * 500}:{T1 * 50}@h.invalid:1/x"', f'{"very_long_" * 30}api_key = "{T1}"', f'token: dict[str, {"list[int] | " * 20}str] = "{T1}"', f"# {'remembered ' * 12}key: {HEX}", f'x{"y" * 300} = "{T2}"  # bot account',
+    f'note = "{"plain words " * 40}{T2}"', "# login: root / Tulip!7083$", "// works with root / prompt-nested46", f"// login answer / {T1}", 'passwd = "copper.heading-hidden71"', "pw = 'violet umbrella under granite stairs'",
+]
+PLACEHOLDERS = ["changeme-before-use", "insert-key-here", "dummy-token-for-docs", "not_a_real_key", "your-api-key-here", "REPLACE_ME", "EXAMPLE_TOKEN", "password", "<your-token>", "test-secret", "fake-client-secret", "[redacted]"]
+
+
+@pytest.mark.parametrize("code", LONG)
+def test_no_width_loses_a_secret(code):
+    assert lines(f"first\n{code}\nlast = 1") == [2]
+
+
+@pytest.mark.parametrize("value", PLACEHOLDERS)
+def test_placeholders_are_made_of_words_that_say_so(value):
+    assert lines(f'token = "{value}"\npassword = "{value}"') == []
+
+
+def test_segmentation_decides_on_known_tokens_and_keys_too():
+    words = "store_limit_record_section_token_ticket"
+    assert lines(f'x = f("ghp_{words.replace("_", "")}")') == [] and lines(f'x = f("{T2}")') == [2 - 1]
+    body = ("storelimitrecordsection" + "tokenticketheadinguser") * 3
+    assert lines(f"k: |\n-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----", True) == [] and lines(PEM, True) == [1]
+
+
 def test_values_over_several_lines():
     assert lines(f'token = (\n    "{T1[:12]}"\n    "{T1[12:]}"\n)\n') == [2]
     assert lines(f'String accessToken = "{T1[:12]}"\n    + "{T1[12:]}";\n') == [1]
