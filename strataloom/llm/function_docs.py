@@ -1,16 +1,20 @@
 """Functions paired with their documentation.
 
-Each chunk is lexed for functions and for candidate comments (string statements, comment
-blocks, Javadoc). A bipartite assignment links them at the least total cost, where the cost
-counts the distance in statements, the indentation, parameter tags that the function lacks and
-names that both share. Links that the language itself doesn't make are rejected as implausible,
-and so are descriptions that say no more than the symbol and its parameters.
+Each chunk is lexed for functions and for candidate comments (string statements, blocks of
+comments, Javadoc). A bipartite assignment links them at the least total cost, where the cost
+counts the statements between them, the side on which the language documents, the kind of
+comment, the indentation, other functions in between, parameter tags that the function lacks
+and names that both share. A function may stay without a link at the cost `MOST_COST`, so less
+plausible links are never made. Descriptions that say no more than the symbol and its parameters
+are rejected. Whether the language itself takes the linked comment as the function's
+documentation is told in a column of its own.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,9 +25,11 @@ from pyspark.sql import functions as F
 from strataloom.session import spread
 
 #: Words beyond the names of the function that a description needs.
-LEAST_WORDS = 3
-#: Cost above which a link is implausible.
-MOST_COST = 4.0
+LEAST_WORDS = 2
+#: Cost of having no link, above which every link is implausible.
+MOST_COST = 2.25
+#: Costs of one statement in between, of a comment instead of a documentation string, of the less usual side, of a side where the language has no documentation, of each other function in between.
+A_STATEMENT, A_COMMENT, OTHER_SIDE, NEVER_THERE, A_FUNCTION = 1.5, 1.0, 1.0, 3.0, 1.0
 
 # Words that say nothing about what a function does.
 FILLERS = set(
@@ -53,19 +59,19 @@ _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
 class Function:
     name: str
     params: list[str]
-    order: int  # place among all statements and candidates
+    order: int  # place among all statements
     indent: int
-    body: int = -1  # order of the first thing in its body
 
 
 @dataclass
 class Candidate:
     text: str
-    order: int
+    order: int  # place among all statements; a comment has that of the statement after it
     indent: int
-    official: bool  # stands where the language takes documentation from
-    owner: int = -1  # of official ones the function's index
+    kind: str  # docstring, javadoc or comment
+    owner: int = -1  # index of the function whose documentation the language takes it for
     tags: set[str] = field(default_factory=set)
+    end: int = -1  # of a comment, where it ends in the code
 
 
 def words_of(name: str) -> list[str]:
@@ -93,8 +99,11 @@ def scan_python(code: str) -> tuple[list[Function], list[Candidate]]:
                 fresh, line_start = True, at + len(text)
             i += 1
         elif kind == "comment":
-            candidates.append(Candidate(text.lstrip("#").strip(), order, at - line_start, False))
-            order += 1
+            last, line = candidates[-1] if candidates else None, text.lstrip("#").strip()
+            if last and last.end >= 0 and last.order == order and not code[last.end : at].strip() and code.count("\n", last.end, at) == 1:
+                last.text, last.end = f"{last.text}\n{line}", at + len(text)  # the next line of a block
+            else:
+                candidates.append(Candidate(line, order, at - line_start, "comment", end=at + len(text)))
             i += 1
         elif kind == "join":
             i += 1
@@ -113,8 +122,7 @@ def scan_python(code: str) -> tuple[list[Function], list[Candidate]]:
             alone = j == len(tokens) or tokens[j][0] in ("line", "comment") or tokens[j][1] == ";"
             plain = not any(set(re.match(r"\w*", p)[0].lower()) & set("bf") for p in parts)
             if alone and plain:
-                official = waiting is not None
-                candidates.append(Candidate("".join(map(_literal, parts)), order, at - line_start, official, waiting if official else -1))
+                candidates.append(Candidate("".join(map(_literal, parts)), order, at - line_start, "docstring", -1 if waiting is None else waiting))
             order, waiting, fresh, i = order + 1, None, False, j
         elif fresh and kind == "word" and text in ("def", "async"):
             j = i + (2 if text == "async" else 1)
@@ -138,7 +146,7 @@ def scan_python(code: str) -> tuple[list[Function], list[Candidate]]:
                     params.append(t.strip("*").partition("=")[0])
                     expect = False
                 j += 1
-            functions.append(Function(name, [p for p in params if p not in ("self", "cls")], order, at - line_start, order + 1))
+            functions.append(Function(name, [p for p in params if p not in ("self", "cls")], order, at - line_start))
             waiting, order, i, fresh = len(functions) - 1, order + 1, j + 1, True  # the body may begin on the same line
         else:
             if fresh:
@@ -154,31 +162,31 @@ def scan_python(code: str) -> tuple[list[Function], list[Candidate]]:
 
 
 def scan_java(code: str) -> tuple[list[Function], list[Candidate]]:
-    """The method of a Java chunk and its candidate comments; a chunk holds one member."""
-    candidates, order, first = [], 0, True
+    """The method of a Java chunk and the candidate comments before and in its header; a chunk holds one member."""
+    candidates, first = [], True
     name, params, level, header = "", [], 0, []
     for m in _JAVA.finditer(code):
         kind, text = m.lastgroup, m[0]
         if kind in ("doc", "comment"):
             body = re.sub(r"(?m)^[ \t]*\*+[ \t]?", "", re.sub(r"^/\*+|\*+/$|^//", "", text))
-            candidates.append(Candidate(body, order, 0, kind == "doc" and first, 0))
-            order += 1
+            candidates.append(Candidate(body, len(candidates) if first else -1, 0, "javadoc" if kind == "doc" else "comment", 0 if kind == "doc" and first else -1))
         elif not name:
-            if first:
-                start = order
-                order += 1
             first = False
             if text == "(" and header and header[-1][1] == "word" and not any(t == "@" for t, _ in header[-2:-1]):
                 name, level = header[-1][0], 1
             header.append((text, kind))
-        elif level:
+        else:
             level += (kind == "open") - (kind == "close")
             header.append((text, kind))
             if (text == "," and level == 1) or level == 0:
                 words = [t for t, k in header[:-1] if k == "word"]
                 params += words[-1:]
-    functions = [Function(name, params, start if not first else 0, 0)]
-    return functions, candidates
+            if level == 0:
+                break
+    before = sum(c.order >= 0 for c in candidates)
+    for c in candidates:
+        c.order = before + 1 if c.order < 0 else c.order + 1
+    return [Function(name, params, before, 0)], candidates
 
 
 def tags_of(text: str) -> set[str]:
@@ -190,18 +198,60 @@ def tags_of(text: str) -> set[str]:
     return names
 
 
-def link_cost(function: Function, candidate: Candidate) -> float:
+def link_cost(functions: list[Function], index: int, candidate: Candidate, language: str) -> float:
     """How far a candidate comment is from documenting a function."""
-    cost = min(3.0, abs(candidate.order - function.order) * 0.5)
-    if candidate.official and candidate.owner >= 0:
-        cost -= 1.0
-    cost += 0.0 if candidate.indent >= function.indent else 1.0
+    function = functions[index]
+    after = candidate.order > function.order
+    gap = candidate.order - function.order - 1 if after else function.order - candidate.order
+    cost = A_STATEMENT * gap
+    cost += A_COMMENT if candidate.kind == "comment" else 0.0
+    if after != (language == "python"):
+        cost += OTHER_SIDE if candidate.kind == "comment" and language == "python" else NEVER_THERE
+    if after and candidate.indent <= function.indent and language == "python":
+        cost += OTHER_SIDE  # not inside the function
+    if gap:
+        low, high = sorted((candidate.order, function.order))
+        cost += A_FUNCTION * sum(low < f.order < high for f in functions[max(0, index - gap) : index + gap + 1])
     if candidate.tags:
         cost += 2.0 * len(candidate.tags - set(function.params)) / len(candidate.tags) - 0.5 * bool(candidate.tags & set(function.params))
     names = set(words_of(function.name))
     return cost - 0.5 * bool(names) * (len(names & set(words_of(candidate.text))) >= max(1, len(names) - 1))
 
 
+def plausible_links(functions: list[Function], candidates: list[Candidate], language: str) -> dict[tuple[int, int], float]:
+    """Costs of the links of function and candidate below `MOST_COST`; only near ones are looked at, as every statement between costs."""
+    reach, links = int((MOST_COST + 1.0) / A_STATEMENT) + 1, {}
+    orders = [c.order for c in candidates]
+    for i, f in enumerate(functions):
+        for j in range(bisect_left(orders, f.order - reach), bisect_right(orders, f.order + 1 + reach)):
+            if (cost := link_cost(functions, i, candidates[j], language)) < MOST_COST:
+                links[i, j] = cost
+    return links
+
+
+def matched(links: dict[tuple[int, int], float]) -> dict[int, int]:
+    """Candidate of each linked function in the assignment of least total cost, found by connected component."""
+    part: dict[tuple[str, int], tuple[str, int]] = {}
+
+    def root(x: tuple[str, int]) -> tuple[str, int]:
+        while part.setdefault(x, x) != x:
+            part[x] = x = part[part[x]]
+        return x
+
+    for i, j in links:
+        part[root(("f", i))] = root(("c", j))
+    groups: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for i, j in links:
+        groups.setdefault(root(("f", i)), []).append((i, j))
+    chosen = {}
+    for pairs in groups.values():
+        rows, columns = sorted({i for i, _ in pairs}), sorted({j for _, j in pairs})
+        far = 1e6  # each function also has a column of its own, for no link
+        costs = [[links.get((i, j), far) for j in columns] + [MOST_COST if i == k else far for k in rows] for i in rows]
+        chosen |= {i: columns[at] for i, at in zip(rows, assign(costs)) if at < len(columns)}
+    return chosen
+
+
 def assign(costs: list[list[float]]) -> list[int]:
     """Column of each row (or -1) in a least-cost assignment (shortest augmenting paths)."""
     n, m = len(costs), len(costs[0]) if costs else 0
@@ -291,46 +341,44 @@ def may_have_docstring(code: str) -> bool:
     return True
 
 
-def documentation(language: str, code: str, symbol: str) -> tuple[str, float] | None:
-    """Description of a chunk's own function and the cost of the link; None without an informative one."""
-    if language != "java" and not may_have_docstring(code):
+def documentation(language: str, code: str, symbol: str) -> tuple[str, str, bool, float] | None:
+    """Description of a chunk's own function, its kind, whether the language takes it, and the cost of the link; None without an informative one."""
+    if language != "java" and "#" not in code and not may_have_docstring(code):
         return None
     functions, candidates = (scan_java if language == "java" else scan_python)(code)
     if not functions or not candidates:
         return None
     for c in candidates:
         c.tags = tags_of(c.text)
-    chosen = assign([[link_cost(f, c) - (6.0 if c.official and c.owner == i else 0.0) for c in candidates] for i, f in enumerate(functions)])
-    if chosen[0] < 0:
+    links = plausible_links(functions, candidates, language)
+    at = matched(links).get(0)
+    if at is None or informative_words(candidates[at].text, symbol, functions[0].params) < LEAST_WORDS:
         return None
-    linked, own = candidates[chosen[0]], functions[0]
-    cost = link_cost(own, linked)
-    if not linked.official or linked.owner != 0 or cost > MOST_COST:
-        return None  # implausible: the language doesn't take it for this function
-    if informative_words(linked.text, symbol, own.params) < LEAST_WORDS:
-        return None
-    return linked.text.strip(), cost
+    return candidates[at].text.strip(), candidates[at].kind, candidates[at].owner == 0, links[0, at]
 
 
 def function_pairs(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """`key`, symbol, code and description of the chunks of kind method or function with documentation of their own.
+    """`key`, symbol, code, description, source and is_official of the chunks of kind method or function with documentation of their own.
+
+    source is docstring, javadoc or comment; is_official tells whether the language itself takes
+    the text as the documentation of that function.
 
     A null or empty code, symbol or file gives no pair; files that don't end in .java are read as
     Python. Equal rows are one; rows with a null key are left out. An empty table gives an empty
     result and further columns are ignored.
     """
     kind = chunks.schema[key].dataType.simpleString()
-    marked = F.when(F.lower("file").endswith(".java"), F.contains("code", F.lit("/**"))).otherwise(F.col("code").rlike("['\"]"))
+    marked = F.when(F.lower("file").endswith(".java"), F.col("code").rlike("/[*/]")).otherwise(F.col("code").rlike("['\"#]"))
     rows = chunks.where(F.col("kind").isin("method", "function") & F.col(key).isNotNull() & F.col("symbol").isNotNull() & marked)
     rows = rows.select(F.col(key).alias("__key"), "symbol", "code", F.when(F.lower("file").endswith(".java"), "java").otherwise("python").alias("language"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("__key", "symbol", "code", "language")]
-            found = [(k, s, c, d[0]) for k, s, c, x in zip(*columns) if (d := documentation(x, c, s))]
+            found = [(k, s, c, *d[:3]) for k, s, c, x in zip(*columns) if (d := documentation(x, c, s))]
             if found:
-                types = [batch.schema.field("__key").type, pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), types)], names=["__key", "symbol", "code", "description"])
+                types = [batch.schema.field("__key").type, pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), types)], names=["__key", "symbol", "code", "description", "source", "is_official"])
 
-    pairs = spread(rows).mapInArrow(run, f"__key {kind}, symbol string, code string, description string")
+    pairs = spread(rows).mapInArrow(run, f"__key {kind}, symbol string, code string, description string, source string, is_official boolean")
     return pairs.withColumnRenamed("__key", key)
