@@ -13,7 +13,8 @@ _PAIR = ["pair_table", "id"]
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
-    return pair_defects.label_pairs(pair_defects.record_pairs(table(spark, folder, "asks"), table(spark, folder, "answers")), _PAIR)
+    profiles = pair_defects.learn_profiles(table(spark, folder, "documents"))
+    return pair_defects.label_pairs(pair_defects.record_pairs(table(spark, folder, "asks"), table(spark, folder, "answers")), _PAIR, profiles)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
