@@ -15,7 +15,7 @@ import re
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.session import cut_lineage, spread
@@ -88,13 +88,14 @@ def _bare(text: Column) -> Column:
 def learn_profiles(texts: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_TEXTS, words: int = PROFILE_WORDS) -> dict[str, list[str]]:
     """Of each Latin language the words that its texts use most among those four times as frequent as in any other.
 
-    A bounded sample of labelled texts is looked at: the first `sample` of each language by a hash, with
-    their first `SAMPLE_WORDS` words. Wrong labels are outvoted; other languages, null texts and
-    labels are left out. A language without texts has no words.
+    A bounded sample of labelled texts is looked at: about `sample` of each language, those with the
+    smallest hashes, with their first `SAMPLE_WORDS` words. Wrong labels are outvoted; other languages,
+    null texts and labels are left out. A language without texts has no words.
     """
     known = texts.where(F.lower(lang).isin(*LATIN) & (F.length(text) > 0)).select(F.lower(lang).alias("lang"), F.col(text).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    some = known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # at most one row a language
+    share = reduce(lambda x, y: x.when(F.col("lang") == y, F.lit(min(1.0, sample / max(1, sizes.get(y, 0))))), LATIN[1:], F.when(F.col("lang") == LATIN[0], F.lit(min(1.0, sample / max(1, sizes.get(LATIN[0], 0))))))
+    some = known.where(F.shiftrightunsigned(F.xxhash64("text"), 11) < share * F.lit(float(1 << 53)))  # where it is read: no text is moved
     words_of = F.slice(F.split(F.lower(_prose(F.col("text"))), r"[^\p{L}']+"), 1, SAMPLE_WORDS)
     each = some.select("lang", F.explode(words_of).alias("word")).where("word <> ''")
     counted = each.groupBy("word").agg(*(F.count_if(F.col("lang") == x).alias(x) for x in LATIN))
