@@ -58,14 +58,17 @@ def resolve_calls(sites: DataFrame, defs: DataFrame) -> DataFrame:
     definition's file), ambiguous.
     """
     site = sites.withColumns({"src": F.concat_ws("::", "file", F.regexp_replace("symbol", r"#\d+$", "")), "own": F.coalesce("parent", F.lit(""))})
+    named = site.join(_counted(defs, "repo_id", "name", prefix="r"), ["repo_id", "name"], "left")
+    # Imports matter only to names with several definitions, and are the same for all calls of a name with the same imports.
+    several = named.where((F.col("r_n") > 1) & ~F.col("name").isin(*BUILTINS)).select("repo_id", "name", F.coalesce("imports", F.array().cast("array<string>")).alias("reached")).distinct()
     keyed = _counted(defs.withColumn("key", _reach_key(F.col("file"))), "repo_id", "name", "key", prefix="i")
-    wanted = site.select("chunk_id", "repo_id", "name", F.explode(F.coalesce("imports", F.array().cast("array<string>"))).alias("import")).select("chunk_id", "repo_id", "name", F.explode(_import_keys(F.col("import"))).alias("key")).distinct()
-    imported = wanted.join(keyed, ["repo_id", "name", "key"]).groupBy("chunk_id", "name").agg(F.sum("i_n").alias("i_n"), F.min("i_id").alias("i_id"))
+    wanted = several.select("repo_id", "name", "reached", F.explode(F.array_distinct(F.flatten(F.transform("reached", _import_keys)))).alias("key"))
+    imported = wanted.join(keyed, ["repo_id", "name", "key"]).groupBy("repo_id", "name", F.col("reached").alias("imports")).agg(F.sum("i_n").alias("i_n"), F.min("i_id").alias("i_id"))
     joined = (
-        site.join(_counted(defs, "repo_id", "name", prefix="r"), ["repo_id", "name"], "left")
+        named
         .join(_counted(defs, "repo_id", "name", "file", prefix="f"), ["repo_id", "name", "file"], "left")
         .join(_counted(defs, "repo_id", "name", "file", "parent", prefix="c").withColumnRenamed("parent", "own"), ["repo_id", "name", "file", "own"], "left")
-        .join(imported, ["chunk_id", "name"], "left")
+        .join(imported, ["repo_id", "name", "imports"], "left")
     )
     rule = (
         F.when(F.col("name").isin(*BUILTINS), "builtin").when(F.col("r_n").isNull(), "external").when(F.col("r_n") == 1, "unique")

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 
 def manifest(files: DataFrame) -> DataFrame:
     """repo_id, path, hash (SHA-256 of the content) of the newest row of each path; files without content are left out."""
-    newest = files.where("content is not null").groupBy("repo_id", "path").agg(F.max_by("content", F.struct("loaded_at", "file_id")).alias("content"))
-    return newest.select("repo_id", "path", F.sha2("content", 256).alias("hash"))
+    hashed = files.where("content is not null").select("repo_id", "path", "loaded_at", "file_id", F.sha2("content", 256).alias("hash"))
+    return hashed.groupBy("repo_id", "path").agg(F.max_by("hash", F.struct("loaded_at", "file_id")).alias("hash"))
+
+
+def newest_contents(files: DataFrame) -> DataFrame:
+    """repo_id, path, content of the newest row of each path with content: by loaded_at, file_id and content, as far as `files` has them."""
+    newest = F.struct(*(c for c in ("loaded_at", "file_id") if c in files.columns), "content")
+    return files.where("content is not null").groupBy("repo_id", "path").agg(F.max_by("content", newest).alias("content"))
 
 
 def changed_files(old: DataFrame, now: DataFrame) -> DataFrame:
@@ -43,7 +49,7 @@ def prune(stored: DataFrame, valid: DataFrame, key: list[str]) -> DataFrame:
 
 def restore(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """chunk_id, state, code sliced anew from today's file: fresh, stale (the text differs), beyond (the file is too short) or gone."""
-    newest = files.where("content is not null").groupBy("repo_id", F.col("path").alias("file")).agg(F.max_by("content", F.struct("loaded_at", "file_id")).alias("content"))
+    newest = newest_contents(files).withColumnRenamed("path", "file")
     joined = chunks.join(newest, ["repo_id", "file"], "left").withColumn("lines", F.split("content", "\n"))
     cut = F.array_join(F.slice("lines", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
     state = F.when(F.col("content").isNull(), "gone").when(F.col("end_line") > F.size("lines"), "beyond").when(cut == F.col("code"), "fresh").otherwise("stale")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.names import is_test_path
 from strataloom.functions.windows import rank_within
+from strataloom.operators.incremental import newest_contents
 
 # File names of entry points, and parts of names that speak against one.
 ENTRY_FILES = ("__main__.py", "main.py", "cli.py", "app.py", "manage.py")
@@ -30,10 +31,10 @@ def entry_points(files: DataFrame) -> DataFrame:
     tests go last, then files in folders, then by path.
     """
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    java = F.col("path").endswith(".java") & F.col("content").rlike(r"\bpublic\s+static\s+void\s+main\s*\(")
+    java = F.col("path").endswith(".java") & F.col("content").rlike(r"\bstatic\s+void\s+main\s*\(")
     python = F.col("path").endswith(".py") & F.contains("content", F.lit("__main__"))
-    evidence = F.when(java, "main method").when(python, "main block").when(name.isin(*ENTRY_FILES), "file name")
-    found = files.groupBy("repo_id", "path").agg(F.max("content").alias("content")).withColumn("evidence", evidence).where("evidence is not null")
+    evidence = F.when(java & F.contains("content", F.lit("@SpringBootApplication")), "main method, Spring Boot").when(java, "main method").when(python, "main block").when(name.isin(*ENTRY_FILES), "file name")
+    found = newest_contents(files).withColumn("evidence", evidence).where("evidence is not null")
     weak = F.lower(name).rlike("|".join(NON_ENTRY))
     return rank_within(found, ["repo_id"], [weak, F.contains("path", F.lit("/")), "path"], "place").select("repo_id", "path", "evidence", "place")
 
@@ -61,10 +62,24 @@ def flows_and_types(flows: DataFrame, types: DataFrame) -> DataFrame:
     return rank_within(both, ["repo_id"], ["part", "at"], "place").select("repo_id", "id", "place")
 
 
+def file_map(chunks: DataFrame) -> DataFrame:
+    """repo_id, file, text: the file's own summary, then those of its symbols in source order; a heading where it has symbols."""
+    files = chunks.where("kind = 'file'").groupBy("repo_id", "file").agg(F.min(F.coalesce("summary", F.lit(""))).alias("own"))
+    told = F.when(F.length("summary") > 0, F.struct("start_line", "chunk_id", F.concat(F.lit("    "), "symbol", F.lit(": "), "summary").alias("line")))
+    symbols = chunks.where(F.col("kind").isin("class", "method", "function")).groupBy("repo_id", "file").agg(F.array_sort(F.collect_list(told)).alias("told"))
+    lines = F.concat(F.array("own"), F.when(F.col("told").isNotNull(), F.concat(F.array(F.lit("  symbols")), F.transform("told", lambda x: x["line"]))).otherwise(F.array().cast("array<string>")))
+    return files.join(symbols, ["repo_id", "file"], "left").select("repo_id", "file", F.array_join(lines, "\n").alias("text"))
+
+
+def main_files(chunks: DataFrame) -> DataFrame:
+    """repo_id, file: of each repository the file with the longest overview text, tests left out; of equal ones the first by path."""
+    sizes = file_map(chunks).where(~is_test_path(F.col("file"))).select("repo_id", "file", F.length("text").alias("size"))
+    return sizes.groupBy("repo_id").agg(F.min_by("file", F.struct((-F.col("size")).alias("s"), "file")).alias("file"))
+
+
 def file_ranking(chunks: DataFrame) -> DataFrame:
-    """repo_id, file, n_symbols, place: files by number of symbols; tests and the main file (the longest by lines) left out."""
-    files = chunks.where("kind = 'file'").groupBy("repo_id", "file").agg(F.max("end_line").alias("lines"))
-    main = files.groupBy("repo_id").agg(F.min_by("file", F.struct((-F.col("lines")).alias("l"), "file")).alias("file"))
+    """repo_id, file, n_symbols, place: files by number of symbols; tests and the main file left out."""
+    main = main_files(chunks)
     counted = chunks.where(F.col("kind").isin("class", "method", "function")).groupBy("repo_id", "file").agg(F.count("*").alias("n_symbols"))
     kept = counted.where(~is_test_path(F.col("file"))).join(main, ["repo_id", "file"], "left_anti")
     return rank_within(kept, ["repo_id"], [F.desc("n_symbols"), "file"], "place")
@@ -88,12 +103,28 @@ def interleave(flows: DataFrame, deps: DataFrame, files: DataFrame, size: int =
     return rank_within(every, ["repo_id"], ["cycle", "slot"], "number").select("repo_id", "number", (F.floor((F.col("number") - 1) / size) + 2).alias("set_no"), "family", "item")
 
 
-def screening(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """repo_id and what decides whether a repository is worth an index: files, chunks, share of documented functions, verdict."""
-    symbols = chunks.where(F.col("kind").isin("method", "function")).groupBy("repo_id").agg(
-        F.count("*").alias("n_functions"), F.count_if(F.col("code").rlike(r'"""|\'\'\'|/\*\*')).alias("n_documented"))
-    kept = files.where("listing = 'files'").select("repo_id", "path").distinct().groupBy("repo_id").agg(F.count("*").alias("n_files"))
-    joined = kept.join(symbols, "repo_id", "left").na.fill(0, ["n_functions", "n_documented"])
-    share = F.when(F.col("n_functions") > 0, F.round(F.col("n_documented") / F.col("n_functions"), 6))
-    verdict = F.when(F.col("n_functions") < 10, "too_small").when(share > 0.8, "documented_already").otherwise("fit")
-    return joined.withColumn("share", share).withColumn("verdict", verdict)
+# Least number of symbols, most documented share, least parsed share of a repository worth an index; tokens and prices of the estimate.
+MIN_SYMBOLS, MAX_DOCUMENTED, MIN_PARSED = 10, 0.8, 0.95
+PROMPT_TOKENS, SUMMARY_TOKENS, CHARS_PER_TOKEN = 300, 50, 4
+
+
+def screening(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """repo_id and what decides whether a repository's Python files are worth an index.
+
+    files: its collected files; facts: `documentation_counts` of those that parse. n_files, n_parsed,
+    n_symbols, n_documented, n_tests, n_tokens (what summaries would read and write) and verdict: the first of
+    unparsable, too_small, documented_already that holds, else fit.
+    """
+    python = newest_contents(files.where(F.col("path").endswith(".py")))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    test = F.contains("path", F.lit("tests/")) | F.col("path").startswith("test/") | name.startswith("test_") | name.endswith("_test.py")
+    kept = python.select("repo_id", "path", F.length("content").alias("chars"), test.alias("test")).join(facts.select("repo_id", "path", "n_symbols", "n_documented"), ["repo_id", "path"], "left")
+    sums = kept.groupBy("repo_id").agg(
+        F.count("*").alias("n_files"), F.count("n_symbols").alias("n_parsed"), F.coalesce(F.sum("n_symbols"), F.lit(0)).alias("n_symbols"), F.coalesce(F.sum("n_documented"), F.lit(0)).alias("n_documented"),
+        F.count_if("test").alias("n_tests"), F.sum("chars").alias("chars"))
+    tokens = F.col("n_symbols") * (PROMPT_TOKENS + SUMMARY_TOKENS) + F.floor(F.col("chars") / CHARS_PER_TOKEN)
+    verdict = (
+        F.when(F.col("n_parsed") < MIN_PARSED * F.col("n_files"), "unparsable").when(F.col("n_symbols") < MIN_SYMBOLS, "too_small")
+        .when(F.col("n_documented") > MAX_DOCUMENTED * F.col("n_symbols"), "documented_already").otherwise("fit")
+    )
+    return sums.withColumns({"n_tokens": tokens.cast("long"), "verdict": verdict}).drop("chars")

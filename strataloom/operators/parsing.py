@@ -16,11 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.incremental import newest_contents
+
 # Parameters that the protocol of a special method dictates.
-FIXED_PARAMS = {"__exit__": {"exc_type", "exc_val", "exc_tb"}, "__aexit__": {"exc_type", "exc_val", "exc_tb"}, "__get__": {"instance", "owner"}, "__getattr__": {"name"}, "__setattr__": {"name", "value"}, "__format__": {"spec"}, "__deepcopy__": {"memo"}}
+FIXED_PARAMS = {
+    "__exit__": {"exc_type", "exc_val", "exc_tb", "exc", "tb", "traceback"},
+    "__aexit__": {"exc_type", "exc_val", "exc_tb", "exc", "tb", "traceback"},
+    "__set_name__": {"owner", "name"},
+    "__init_subclass__": {"cls"},
+}
 
 
-def _tree(source: str) -> ast.Module | None:
+def tree_of(source: str) -> ast.Module | None:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -33,7 +40,8 @@ def _facts(files: DataFrame, extract: Callable[[str], list[tuple]], columns: dic
     """Rows of `extract` for the content of each Python file, with its repo_id and path."""
     # A number of its own keeps the partitions of this shuffle apart: they are small, but slow to parse.
     wide = 4 * files.sparkSession.sparkContext.defaultParallelism
-    rows = files.where(F.col("path").endswith(".py") & F.col("content").isNotNull()).repartition(wide, "repo_id", "path").groupBy("repo_id", "path").agg(F.max("content").alias("content"))
+    rows = files.where(F.col("path").endswith(".py") & F.col("content").isNotNull()).repartition(wide, "repo_id", "path")
+    rows = newest_contents(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,7 +66,7 @@ def _walk_symbols(source: str) -> list[tuple]:
             else:
                 visit(child, parent, in_class and not isinstance(child, ast.stmt))
 
-    if (tree := _tree(source)) is not None:
+    if (tree := tree_of(source)) is not None:
         visit(tree, None, False)
     return out
 
@@ -70,7 +78,7 @@ def python_symbols(files: DataFrame) -> DataFrame:
 
 
 def _imports(source: str) -> list[tuple]:
-    tree, names = _tree(source), []
+    tree, names = tree_of(source), []
 
     def visit(body: list[ast.stmt]) -> None:
         for s in body:
@@ -96,7 +104,7 @@ def python_imports(files: DataFrame) -> DataFrame:
 
 def _calls(source: str) -> list[tuple]:
     out = []
-    if (tree := _tree(source)) is None:
+    if (tree := tree_of(source)) is None:
         return out
     for node in ast.walk(tree):
         if isinstance(node, ast.Call):
@@ -115,7 +123,7 @@ def python_calls(files: DataFrame) -> DataFrame:
 
 def _unused(source: str) -> list[tuple]:
     out = []
-    if (tree := _tree(source)) is None:
+    if (tree := tree_of(source)) is None:
         return out
     owners = {child: node.name for node in ast.walk(tree) if isinstance(node, ast.ClassDef) for child in node.body}
     for node in ast.walk(tree):
@@ -143,7 +151,7 @@ def unused_groups(quirks: DataFrame) -> DataFrame:
 
 
 def _documentation(source: str) -> list[tuple]:
-    tree = _tree(source)
+    tree = tree_of(source)
     if tree is None:
         return []
     nodes = [n for n in ast.walk(tree) if isinstance(n, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))]
@@ -168,7 +176,7 @@ def documentation_counts(files: DataFrame) -> DataFrame:
 
 
 def _stripped(source: str) -> list[tuple]:
-    tree = _tree(source)
+    tree = tree_of(source)
     if tree is None:
         return []
     drop: set[int] = set()
@@ -195,18 +203,18 @@ def stripped_sources(files: DataFrame) -> DataFrame:
 
 def java_facts(files: DataFrame) -> DataFrame:
     """repo_id, path, package, imports (wildcards as packages, in order, each once), is_entry of Java files, without a parser."""
-    rows = files.where(F.col("path").endswith(".java") & F.col("content").isNotNull()).groupBy("repo_id", "path").agg(F.max("content").alias("content"))
+    rows = newest_contents(files.where(F.col("path").endswith(".java")))
     plain = F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", " "), r"//[^\r\n]*", " ")
     names = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([A-Za-z_][A-Za-z0-9_.]*[A-Za-z0-9_])(?:\.\*)?[ \t]*;"), F.lit(1)))
     return rows.select(
         "repo_id", "path", F.nullif(F.regexp_extract(plain, r"(?m)^[ \t]*package[ \t]+([A-Za-z0-9_.]+)[ \t]*;", 1), F.lit("")).alias("package"),
-        F.array_join(names, ",").alias("imports"), plain.rlike(r"public[ \t]+static[ \t]+void[ \t]+main[ \t]*\(").alias("is_entry"),
+        F.array_join(names, ",").alias("imports"), plain.rlike(r"\bstatic\s+void\s+main\s*\(").alias("is_entry"),
     )
 
 
 def java_type_references(files: DataFrame) -> DataFrame:
     """repo_id, path, name, n: capitalised names in Java files and how often they occur; strings and comments left out."""
-    rows = files.where(F.col("path").endswith(".java") & F.col("content").isNotNull()).groupBy("repo_id", "path").agg(F.max("content").alias("content"))
+    rows = newest_contents(files.where(F.col("path").endswith(".java")))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", " "), r"//[^\r\n]*", " "), r'"[^"\r\n]*"', '""')
     names = rows.select("repo_id", "path", F.explode(F.regexp_extract_all(plain, F.lit(r"\b([A-Z][A-Za-z0-9_]*)\b"), F.lit(1))).alias("name"))
     return names.groupBy("repo_id", "path", "name").agg(F.count("*").alias("n"))

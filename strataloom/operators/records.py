@@ -118,7 +118,7 @@ def parse_feedback(raw: DataFrame, text: str = "raw") -> DataFrame:
     schema = "claims array<struct<claim:string,verdict:string,hedged:boolean,evidence:string,note:string>>, verdict_line string, revision string"
     body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     df = raw.withColumn("__j", body).withColumn("__p", F.from_json("__j", schema))
-    score = lambda name: clamp_score(F.coalesce(F.get_json_object("__j", f"$.{name}"), F.lit("")))
+    score = lambda name: clamp_score(F.coalesce(F.get_json_object("__j", f"$.{name}"), F.lit("")), F.col("__j").rlike(f'"{name}"\\s*:\\s*"'))
     verdict = lambda c: F.when(c["verdict"].isin(*VERDICTS), c["verdict"]).otherwise("unverifiable")
     claims = F.transform(F.coalesce("__p.claims", F.array().cast("array<struct<claim:string,verdict:string,hedged:boolean,evidence:string,note:string>>")), lambda c: F.struct(
         F.coalesce(c["claim"], F.lit("")).alias("claim"), verdict(c).alias("verdict"), F.coalesce(c["hedged"], F.lit(False)).alias("hedged"), c["evidence"].alias("evidence"), F.coalesce(c["note"], F.lit("")).alias("note")))

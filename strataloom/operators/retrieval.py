@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,55 +14,193 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.names import identifiers
 from strataloom.functions.windows import numbered
+from strataloom.session import cut_lineage
 
-#: Vectors of one block: what a task holds of either side at once.
-QUERY_BLOCK, BASE_BLOCK = 1024, 65_536
+#: Queries that are sent to the tasks at once, queries and base vectors that are multiplied at once, slices whose results are one table.
+QUERY_SLICE, QUERY_BLOCK, BASE_BLOCK, SLICES_AT_ONCE = 8192, 1024, 4096, 16
+#: What single precision may be wrong by; everything so near to the last place is compared in double precision.
+SINGLE_ERROR = 4e-6
 # Places by kind in a result of eight, the first for any kind.
 QUOTAS = ((None, 4), ("file", 2), ("doc", 1), ("config", 1))
 
 
-def _blocks(df: DataFrame, key: str, size: int, counted: int, name: str) -> tuple[DataFrame, int]:
-    n = max(1, -(-counted // size))
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+class _Best:
+    """The nearest base vectors of one slice of queries among those seen so far, in arrays."""
+
+    def __init__(self, keys: np.ndarray, vectors: np.ndarray, k: int):
+        self.own, self.exact, self.k = keys, vectors, k
+        self.single = vectors.astype(np.float32)
+        self.rows, self.least = [], np.full(len(keys), -np.inf, np.float32)
+
+    def see(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        single = vectors.astype(np.float32)
+        for i in range(0, len(self.own), QUERY_BLOCK):
+            near = self.single[i : i + QUERY_BLOCK] @ single.T
+            if near.shape[1] > self.k + 1:  # one more, as a query may meet itself
+                last = np.partition(near, near.shape[1] - self.k - 1, axis=1)[:, near.shape[1] - self.k - 1]
+                self.least[i : i + QUERY_BLOCK] = np.maximum(self.least[i : i + QUERY_BLOCK], last)
+            q, b = np.nonzero(near >= (self.least[i : i + QUERY_BLOCK] - np.float32(SINGLE_ERROR))[:, None])
+            q += i
+            apart = keys[b] != self.own[q]
+            q, b = q[apart], b[apart]
+            self.rows.append((q, keys[b], np.round(1.0 - np.einsum("ij,ij->i", self.exact[q], vectors[b]), 6)))
+        if len(self.rows) > 64:
+            self.rows = [self.top()]
+
+    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, keys, distances = (np.concatenate(x) for x in zip(*self.rows))
+        order = np.lexsort((keys, distances, q))
+        q = q[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k
+        return q[kept], keys[order][kept], distances[order][kept]
 
 
 def vector_topk(queries: DataFrame, base: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 8, keep: str | None = None, group: str | None = None) -> DataFrame:
     """query, rank, `key`, distance: the `k` nearest vectors by cosine distance of each query, itself left out.
 
-    Both sides are cut into blocks by a hash of the key; every pair of blocks is one task that
-    multiplies two bounded matrices and keeps `k` rows a query (of each `group`, if given), and a
-    window over at most k rows of each block gives the result. `keep` is a condition on the base.
-    Null and empty vectors are left out; a zero vector has distance 1; ties go by key.
+    Queries go to the tasks in slices of `QUERY_SLICE`, so what is sent has a bound; every task
+    multiplies bounded blocks of the base where it lies and keeps `k` rows a query (of each `group`, if
+    given). Only those are shuffled, and a window over k rows of each task gives the result. `keep`
+    is a condition on the base. Null and empty vectors are left out; a zero vector has distance 1;
+    ties go by key.
     """
-    extra = [group] if group else []
     usable = F.size(vector) > 0
     q = queries.where(usable).select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("qv"))
     b = base.where(usable)
-    b = (b.where(keep) if keep else b).select(F.col(key).cast("long").alias("__key"), F.col(vector).cast("array<double>").alias("bv"), *extra)
-    q, n_q = _blocks(q, "query", QUERY_BLOCK, queries.count(), "__q")
-    b, n_b = _blocks(b, "__key", BASE_BLOCK, base.count(), "__b")
-    q = q.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
-    b = b.withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    group_type = f", {group} {base.schema[group].dataType.simpleString()}" if group else ""
+    b = (b.where(keep) if keep else b).select(F.col(key).cast("long").alias("__key"), F.col(vector).cast("array<double>").alias("bv"), *([group] if group else []))
+    slices = max(1, -(-q.count() // QUERY_SLICE))
+    kind = f", {group} {base.schema[group].dataType.simpleString()}" if group else ""
+    context = q.sparkSession.sparkContext
+
+    def nearest(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, vectors = sent.value
+            best: dict = {}
+            kind_type = None
+            for whole in batches:
+                for at in range(0, whole.num_rows, BASE_BLOCK):
+                    batch = whole.slice(at, BASE_BLOCK)
+                    keys = batch.column("__key").to_numpy()
+                    matrix = _unit(batch.column("bv").flatten().to_numpy().reshape(len(keys), -1))
+                    kinds = batch.column(group).to_pylist() if group else [None] * len(keys)
+                    kind_type = batch.schema.field(group).type if group else None
+                    for g in dict.fromkeys(kinds):
+                        part = np.array([x == g for x in kinds])
+                        best.setdefault(g, _Best(own, vectors, k)).see(keys[part], matrix[part])
+            for g, found in best.items():
+                at, keys, distances = found.top()
+                columns = [pa.array(own[at]), pa.array(keys), pa.array(distances)] + ([pa.array([g] * len(at), kind_type)] if group else [])
+                yield pa.RecordBatch.from_arrays(columns, names=["query", "__key", "distance", *([group] if group else [])])
+
+        return run
+
+    done, parts = [], []
+    for number in range(slices):
+        rows = q.where(F.pmod(F.xxhash64("query"), F.lit(slices)) == number).collect()  # about QUERY_SLICE rows
+        if rows:
+            sent = context.broadcast((np.array([r["query"] for r in rows], np.int64), _unit(np.array([r["qv"] for r in rows]))))
+            parts.append(b.mapInArrow(nearest(sent), f"query long, __key long, distance double{kind}"))
+        if parts and slices > SLICES_AT_ONCE and (len(parts) == SLICES_AT_ONCE or number == slices - 1):
+            done.append(cut_lineage(reduce(DataFrame.unionByName, parts)))
+            parts = []
+    empty = b.select(F.col("__key").alias("query"), "__key", F.lit(0.0).alias("distance"), *([group] if group else [])).where("false")
+    local = reduce(DataFrame.unionByName, [*done, *parts]) if done or parts else empty
+    rank = numbered(Window.partitionBy("query", *([group] if group else [])).orderBy("distance", "__key"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", F.col("__key").alias(key), "distance", *([group] if group else []))
+
+
+#: Vectors that an index is fitted on at most, about; rounds of fitting; sample queries and the recall on them by which the number of lists to look into is chosen.
+INDEX_SAMPLE, INDEX_ROUNDS, INDEX_QUERIES, INDEX_RECALL = 20_000, 8, 500, 0.97
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """Centres of the lists and how many lists a query looks into."""
+
+    centres: np.ndarray
+    probes: int
+
+
+def fit_index(base: DataFrame, key: str = "vec_id", vector: str = "embedding", centres: int = 64, sample: int = INDEX_SAMPLE, k: int = 8) -> VectorIndex:
+    """Lists around `centres` unit vectors, by spherical k-means on about `sample` rows at most, those with the smallest hashes.
+
+    The number of lists to look into is the least that finds `INDEX_RECALL` of the `k` nearest
+    sample vectors of `INDEX_QUERIES` of them.
+    """
+    rows = base.where(F.size(vector) > 0).select(F.col(vector).cast("array<double>").alias("v"), F.shiftrightunsigned(F.xxhash64(key), 11).alias("h"))
+    share = min(1.0, sample / max(1, rows.count()))
+    data = np.array([r["v"] for r in rows.where(F.col("h") < F.lit(share * (1 << 53))).orderBy("h").collect()])
+    if not len(data):
+        return VectorIndex(np.zeros((0, 0)), 0)
+    data = _unit(data)
+    found = data[np.linspace(0, len(data) - 1, min(centres, len(data))).astype(int)]
+    for _ in range(INDEX_ROUNDS):
+        nearest = (data @ found.T).argmax(axis=1)
+        sums = np.zeros_like(found)
+        np.add.at(sums, nearest, data)
+        filled = np.bincount(nearest, minlength=len(found)) > 0
+        found[filled] = _unit(sums[filled])
+    asked = data[:INDEX_QUERIES]
+    near = asked @ data.T
+    near[np.arange(len(asked)), np.arange(len(asked))] = -2.0
+    best = np.argsort(-near, axis=1)[:, :k]
+    order = np.argsort(-(asked @ found.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)  # of each list among those of a query
+    needed = np.sort(np.take_along_axis(place, (data @ found.T).argmax(axis=1)[best], axis=1).ravel())
+    return VectorIndex(found, int(needed[min(len(needed) - 1, int(np.ceil(INDEX_RECALL * len(needed))))]) + 1)
+
+
+def _lists(df: DataFrame, key: str, vector: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """key, vector and list: one row for each of the `probes` nearest centres of each vector."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(key)
+            matrix = _unit(batch.column("v").flatten().to_numpy().reshape(len(keys), -1))
+            near = np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes]
+            at = pa.array(np.repeat(np.arange(len(keys)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([keys.take(at), batch.column("v").take(at), pa.array(near.ravel().astype(np.int32))], names=[key, "v", "list"])
+
+    rows = df.where(F.size(vector) > 0).select(key, F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, f"{key} {kind}, v array<double>, list int")
+
+
+def index_topk(queries: DataFrame, base: DataFrame, index: VectorIndex, key: str = "vec_id", vector: str = "embedding", k: int = 8, salts: int = 8) -> DataFrame:
+    """query, rank, `key`, distance like `vector_topk`, but each query looks only into the lists of its nearest centres.
+
+    Every base vector lies in the list of its nearest centre; a list is split into `salts` parts, so that
+    a hot one is several tasks. Approximate: what lies in other lists isn't found. Ties go by key.
+    """
+    if not index.probes:
+        return vector_topk(queries, base, key, vector, k)
+    b = _lists(base, key, vector, index.centres, 1).select(F.col(key).cast("long").alias("__key"), F.col("v").alias("bv"), "list", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"))
+    q = _lists(queries, key, vector, index.centres, index.probes).select(F.col(key).cast("long").alias("query"), F.col("v").alias("qv"), "list", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["query", "__key", "distance", *extra]
         if not len(left) or not len(right):
-            return pd.DataFrame({n: [] for n in names})
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        distances = np.round(1.0 - unit(np.array(left["qv"].tolist())) @ unit(np.array(right["bv"].tolist())).T, 6)
-        keys, out = right["__key"].to_numpy(), []
-        parts = [np.flatnonzero(right[group].to_numpy() == g) for g in right[group].unique()] if group else [np.arange(len(right))]
-        for i, own in enumerate(left["query"].to_numpy()):
-            for part in parts:
-                order = part[np.lexsort((keys[part], distances[i, part]))][: k + 1]
-                order = order[keys[order] != own][:k]
-                out.append(pd.DataFrame({"query": own, "__key": keys[order], "distance": distances[i, order], **{e: right[e].to_numpy()[order] for e in extra}}))
-        return pd.concat(out, ignore_index=True)
-
-    local = q.groupBy("__q", "__b").cogroup(b.groupBy("__q", "__b")).applyInPandas(pairs, f"query long, __key long, distance double{group_type}")
-    rank = numbered(Window.partitionBy("query", *extra).orderBy("distance", "__key"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", F.col("__key").alias(key), "distance", *extra)
+            return pd.DataFrame({"query": [], "__key": [], "distance": []})
+        own = left["query"].to_numpy()
+        best = _Best(own, _unit(np.array(left["qv"].tolist())), k)
+        keys, matrix = right["__key"].to_numpy(), _unit(np.array(right["bv"].tolist()))
+        for at in range(0, len(keys), BASE_BLOCK):
+            best.see(keys[at : at + BASE_BLOCK], matrix[at : at + BASE_BLOCK])
+        at, found, distances = best.top()
+        return pd.DataFrame({"query": own[at], "__key": found, "distance": distances})
+
+    local = q.groupBy("list", "salt").cogroup(b.groupBy("list", "salt")).applyInPandas(pairs, "query long, __key long, distance double")
+    rank = numbered(Window.partitionBy("query").orderBy("distance", "__key"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", F.col("__key").alias(key), "distance")
+
+
+def recall(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame:
+    """One row: n_exact pairs and the share of them that were found."""
+    hits = exact.select("query", key).join(found.select("query", key, F.lit(1).alias("hit")), ["query", key], "left")
+    return hits.agg(F.count("*").alias("n_exact"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
 def quota_union(ranked: DataFrame, all_kinds: DataFrame, key: str = "vec_id", kind: str = "kind", quotas: tuple = QUOTAS, k: int = 8) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.names import BUILTINS, STDLIB
-from strataloom.operators import calls, imports, scan
+from strataloom.operators import calls, imports, indexing, scan
 from strataloom.sources.tables import table
 
 
@@ -36,15 +36,24 @@ def skip_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def module_unique(spark: SparkSession, folder: str) -> DataFrame:
-    return imports.unique_modules(imports.module_entries(_files(spark, folder)))
+    return imports.unique_modules(imports.module_entries(_collected(spark, folder)))
+
+
+def _collected(spark: SparkSession, folder: str) -> DataFrame:
+    return _files(spark, folder).where("listing = 'files'")
 
 
 def _imports(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return imports.file_imports(distinct_chunks(spark, folder)), imports.module_entries(_files(spark, folder))
+    return imports.file_imports(distinct_chunks(spark, folder)), imports.module_entries(_collected(spark, folder))
+
+
+def _imports_and_names(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    found, entries = _imports(spark, folder)
+    return found, imports.internal_names(entries, imports.package_names(_collected(spark, folder)))
 
 
 def internal_suffix(spark: SparkSession, folder: str) -> DataFrame:
-    return imports.internal_imports(*_imports(spark, folder))
+    return imports.internal_imports(*_imports_and_names(spark, folder))
 
 
 def import_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +61,11 @@ def import_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dep_split(spark: SparkSession, folder: str) -> DataFrame:
-    return imports.dependencies(*_imports(spark, folder))
+    return imports.dependencies(*_imports_and_names(spark, folder))
+
+
+def import_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return imports.import_totals(*_imports_and_names(spark, folder))
 
 
 def _resolved(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,6 +105,25 @@ def enclosing_innermost(spark: SparkSession, folder: str) -> DataFrame:
     return calls.enclosing_symbols(chunks, points)
 
 
+def index_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk of the collected files, its code by hash."""
+    found = indexing.index_chunks(_collected(spark, folder))
+    return found.select("repo_id", "file", "symbol", "kind", "start_line", "end_line", "parent", "id", F.sha2("code", 256).alias("code_hash"))
+
+
+def index_against_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """repo_id, n_stored and n_same: of the stored symbols of today's Python and Java files those that the index has with the same lines and code."""
+    stored = distinct_chunks(spark, folder).where("kind in ('class', 'method', 'function') and code is not null")
+    keys = ["repo_id", "file", "start_line", "end_line"]
+    stored = stored.select("repo_id", "file", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), F.sha2("code", 256).alias("code_hash"))
+    found = index_chunks(spark, folder).where("kind <> 'file'").select(*keys, "code_hash", F.lit(1).alias("same")).distinct()
+    return stored.join(found, [*keys, "code_hash"], "left").groupBy("repo_id").agg(F.count("*").alias("n_stored"), F.count("same").alias("n_same"))
+
+
+def file_docs(spark: SparkSession, folder: str) -> DataFrame:
+    return indexing.file_docs(_collected(spark, folder))
+
+
 _CLASSIFIED = f"""
 classified as (select *, case
   when len(list_filter(string_split(path, '/')[:-2], lambda s: starts_with(s, '.') or s in ({', '.join(repr(x) for x in scan.EXCLUDED)}))) > 0 then 'excluded'
@@ -102,17 +134,23 @@ _COUNTS = f"counts as (select repo_id, {_EXT} as ext, count(*) as n from (select
 _CHUNKS = "c as (select distinct on (chunk_id) * from chunks)"
 # The anchor of a module is the deepest folder above it that has no __init__.py.
 _MODULES = """
-py as (select distinct repo_id, path, string_split(path, '/') as parts from source_files where path like '%.py'),
+py as (select distinct repo_id, path, string_split(path, '/') as parts from source_files where listing = 'files' and (path like '%.py' or path like '%.java')),
 pk as (select repo_id, regexp_replace(path, '/?__init__\\.py$', '') as folder from py where regexp_matches(path, '(^|/)__init__\\.py$')),
 lv as (select repo_id, path, parts, unnest(range(0, len(parts))) as level from py),
 an as (select l.repo_id, l.path, any_value(l.parts) as parts, max(l.level) as level from lv l
   left join pk on pk.repo_id = l.repo_id and pk.folder = array_to_string(l.parts[1:l.level], '/') where pk.folder is null group by 1, 2),
-mods as (select * from (select repo_id, path, regexp_replace(regexp_replace(array_to_string(parts[level + 1:], '.'), '\\.py$', ''), '\\.__init__$', '') as module from an) where module <> '__init__'),
+mods as (select * from (select repo_id, path, regexp_replace(regexp_replace(array_to_string(parts[level + 1:], '.'), '\\.(py|java)$', ''), '\\.__init__$', '') as module from an) where module <> '__init__'),
 uniq as (select repo_id, module, min(path) as path from mods group by 1, 2 having count(*) = 1),
+src as (select distinct on (repo_id, path) repo_id, path, content from source_files where listing = 'files' and content is not null and path like '%.java' order by repo_id, path, loaded_at desc, file_id desc),
+pack as (select distinct repo_id, regexp_extract(regexp_replace(regexp_replace(content, '(?s)/\\*.*?\\*/', ' ', 'g'), '//[^\\r\\n]*', ' ', 'g'), '(?m)^[ \\t]*package[ \\t]+([A-Za-z0-9_.]+)[ \\t]*;', 1) as module from src),
+own as (select repo_id, module from mods union select repo_id, module from pack where module <> ''),
 imp as (select distinct repo_id, file, unnest(imports) as name from c where kind = 'file'),
-suf as (select repo_id, file, name, i as pos, array_to_string(string_split(name, '.')[i:], '.') as module
-  from (select *, unnest(range(1, len(string_split(name, '.')) + 1)) as i from imp)),
-internal as (select imp.*, (name like '.%' or exists (select 1 from suf s join mods m on m.repo_id = s.repo_id and m.module = s.module where s.repo_id = imp.repo_id and s.file = imp.file and s.name = imp.name)) as internal from imp)"""
+-- An import of Java names a file by its first class.
+tgt as (select *, case when file like '%.java' and len(list_filter(ps, lambda p: regexp_matches(p, '^[A-Z]'))) > 0
+  then array_to_string(ps[1:list_position(list_transform(ps, lambda p: regexp_matches(p, '^[A-Z]')), true)], '.') else regexp_replace(name, '\\.\\*$', '') end as target from (select *, string_split(name, '.') as ps from imp)),
+suf as (select repo_id, file, name, i as pos, array_to_string(string_split(target, '.')[i:], '.') as module
+  from (select *, unnest(range(1, len(string_split(target, '.')) + 1)) as i from tgt)),
+internal as (select imp.*, (name like '.%' or exists (select 1 from suf s join own m on m.repo_id = s.repo_id and m.module = s.module where s.repo_id = imp.repo_id and s.file = imp.file and s.name = imp.name)) as internal from imp)"""
 _CALL = r"(?:([A-Za-z_]\w*)\.)?([A-Za-z_]\w*)\("
 _RESOLVED = f"""
 site as (select chunk_id, repo_id, file, coalesce(parent, '') as own, imports, file || '::' || regexp_replace(symbol, '#\\d+$', '') as src,
@@ -135,7 +173,7 @@ res as (select s.chunk_id, s.repo_id, s.src, s.receiver, s.name,
 edges as (select distinct repo_id, src, dst from res where dst is not null and src <> dst)"""
 _SIDES = "select repo_id, split_part(src, '::', 1) as a, split_part(dst, '::', 1) as b from edges"
 
-QUERIES = {f.__name__: f for f in (scan_classify, scan_kept, ext_counts, skip_fold, module_unique, internal_suffix, import_edges, dep_split, call_resolve, call_rule_hist, call_edges, neighbors_out, neighbors_in, callers_of, enclosing_innermost)}
+QUERIES = {f.__name__: f for f in (scan_classify, scan_kept, ext_counts, skip_fold, module_unique, internal_suffix, import_edges, dep_split, import_totals, call_resolve, call_rule_hist, call_edges, neighbors_out, neighbors_in, callers_of, enclosing_innermost, index_chunks, index_against_chunks, file_docs)}
 ORACLES = {
     "scan_classify": f"with {_CLASSIFIED} select status, count(*) as n_files, cast(sum(size_bytes) as bigint) as n_bytes from (select distinct file_id, path, size_bytes, status from classified) group by 1",
     "scan_kept": f"with {_CLASSIFIED} select distinct repo_id, path from classified where status = 'kept'",
@@ -150,6 +188,15 @@ ORACLES = {
         else nullif(regexp_extract(name, '^([a-z_]\\w*(?:\\.[a-z_]\\w*)?)', 1), '') end else split_part(name, '.', 1) end as dep,
       case when file like '%.java' and regexp_matches(name, '^javax?\\.') then 'stdlib' when file not like '%.java' and split_part(name, '.', 1) in ({', '.join(repr(x) for x in sorted(STDLIB))}) then 'stdlib' else 'third_party' end as source,
       count(distinct file) as n_files from internal where not internal group by 1, 2, 3""",
+    "import_totals": f"""with {_CHUNKS}, {_MODULES}, d as (select distinct repo_id, case when file like '%.java' then case when regexp_matches(name, '^javax?\\.') then regexp_extract(name, '^(javax?)\\.', 1)
+        else nullif(regexp_extract(name, '^([a-z_]\\w*(?:\\.[a-z_]\\w*)?)', 1), '') end else split_part(name, '.', 1) end as dep,
+        case when file like '%.java' and regexp_matches(name, '^javax?\\.') then 'stdlib' when file not like '%.java' and split_part(name, '.', 1) in ({', '.join(repr(x) for x in sorted(STDLIB))}) then 'stdlib' else 'third_party' end as source from internal where not internal)
+      select i.repo_id, i.n_internal, coalesce(d.t, 0) as n_third_party, coalesce(d.s, 0) as n_stdlib from (select repo_id, count(*) filter (where internal) as n_internal from internal group by 1) i
+      left join (select repo_id, count(*) filter (where source = 'third_party') as t, count(*) filter (where source = 'stdlib') as s from d group by 1) d on d.repo_id = i.repo_id""",
+    "index_against_chunks": f"""with {_CHUNKS}, l as (select distinct on (repo_id, path) repo_id, path, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) as ls from source_files
+        where listing = 'files' and content is not null and regexp_matches(path, '\\.(py|java)$') order by repo_id, path, loaded_at desc, file_id desc)
+      select c.repo_id, count(*) as n_stored, count(*) filter (where array_to_string(l.ls[c.start_line:c.end_line], chr(10)) = c.code) as n_same from c left join l on l.repo_id = c.repo_id and l.path = c.file
+      where c.kind in ('class', 'method', 'function') and c.code is not null group by 1""",
     "call_resolve": f"with {_CHUNKS}, {_RESOLVED} select chunk_id, repo_id, src, receiver, name, rule, dst from res",
     "call_rule_hist": f"with {_CHUNKS}, {_RESOLVED} select rule, count(*) as n from res group by 1",
     "call_edges": f"with {_CHUNKS}, {_RESOLVED} select * from edges",

@@ -24,6 +24,16 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.vector_topk(*_vectors(spark, folder))
 
 
+def vector_index_topk(spark: SparkSession, folder: str) -> DataFrame:
+    queries, base = _vectors(spark, folder)
+    return retrieval.index_topk(queries, base, retrieval.fit_index(base))
+
+
+def vector_index_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """What the index finds of the exact nearest vectors."""
+    return retrieval.recall(vector_index_topk(spark, folder), vector_topk(spark, folder))
+
+
 def vector_topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.vector_topk(*_vectors(spark, folder), k=5, keep="kind in ('function', 'doc')")
 
@@ -112,6 +122,10 @@ def flow_rank(spark: SparkSession, folder: str) -> DataFrame:
     return overview.flow_ranking(calls.stored_edges(distinct_chunks(spark, folder)))
 
 
+def file_map(spark: SparkSession, folder: str) -> DataFrame:
+    return overview.file_map(distinct_chunks(spark, folder))
+
+
 def file_rank(spark: SparkSession, folder: str) -> DataFrame:
     return overview.file_ranking(distinct_chunks(spark, folder))
 
@@ -144,7 +158,8 @@ def enclosing_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def screen_verdict(spark: SparkSession, folder: str) -> DataFrame:
-    return overview.screening(distinct_chunks(spark, folder), table(spark, folder, "source_files"))
+    files = _files(spark, folder).where("listing = 'files'")
+    return overview.screening(files, parsing.documentation_counts(files))
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,21 +212,24 @@ _TOP = "select query, row_number() over (partition by query{g} order by distance
 _CH = "ch as (select distinct on (chunk_id) * from chunks)"
 _K = "k as (select distinct on (id) * from asks where id is not null)"
 _IDENT = "list_filter(list_distinct(regexp_extract_all(question, '([A-Za-z_][A-Za-z0-9_]*)', 1)), lambda t: len(t) >= 2 and (contains(t, '_') or (regexp_matches(t, '[a-z]') and regexp_matches(t, '[A-Z]'))))"
-_JAVA = "j as (select repo_id, path, regexp_replace(regexp_replace(max(content), '(?s)/\\*.*?\\*/', ' ', 'g'), '//[^\\r\\n]*', ' ', 'g') as p from source_files where path like '%.java' and content is not null group by 1, 2)"
+_JAVA = "j as (select repo_id, path, regexp_replace(regexp_replace(content, '(?s)/\\*.*?\\*/', ' ', 'g'), '//[^\\r\\n]*', ' ', 'g') as p from (select distinct on (repo_id, path) repo_id, path, content from source_files where path like '%.java' and content is not null order by repo_id, path, loaded_at desc, file_id desc))"
 _REFS = """refs as (select repo_id, path, name, count(*) as n from (select repo_id, path, unnest(regexp_extract_all(regexp_replace(p, '"[^"\\r\\n]*"', '""', 'g'), '\\b([A-Z][A-Za-z0-9_]*)\\b', 1)) as name from j) group by 1, 2, 3)"""
-_TEST = "regexp_matches({0}, '(^|/)tests?/|(^|/)test_[^/]*$|_test\\.[^./]+$|Tests?\\.java$')"
+_TEST = "regexp_matches({0}, '(^|/)tests?/|(^|/)test_[^/]*$|(_test|Tests?)(\\.[^./]*)?$')"
 _FLOW = f"""se as (select distinct repo_id, src, dst from (select repo_id, file || '::' || symbol as src, unnest(calls) as dst from ch) where src <> dst),
 fo as (select repo_id, src as id, count(distinct dst) as n_out from se group by 1, 2), fi as (select repo_id, dst as id, count(distinct src) as n_in from se group by 1, 2),
 flow as (select *, row_number() over (partition by repo_id order by n_out + n_in desc, id) as place from (select fo.repo_id, fo.id, n_out, coalesce(n_in, 0) as n_in from fo left join fi on fi.repo_id = fo.repo_id and fi.id = fo.id
   where n_out >= 2 and not regexp_matches(fo.id, '__\\w+__$') and not {_TEST.format("split_part(fo.id, '::', 1)")}))"""
-_FILES = f"""fl as (select repo_id, file, max(end_line) as lines from ch where kind = 'file' group by 1, 2), mainf as (select repo_id, file from (select *, row_number() over (partition by repo_id order by lines desc, file) as r from fl) where r = 1),
+_MAP = """own as (select repo_id, file, min(coalesce(summary, '')) as own from ch where kind = 'file' group by 1, 2),
+told as (select repo_id, file, string_agg(case when length(summary) > 0 then '    ' || symbol || ': ' || summary end, chr(10) order by start_line, chunk_id) as told from ch where kind in ('class', 'method', 'function') group by 1, 2),
+fmap as (select o.repo_id, o.file, own || case when t.file is null then '' else chr(10) || '  symbols' || coalesce(chr(10) || told, '') end as text from own o left join told t on t.repo_id = o.repo_id and t.file = o.file)"""
+_FILES = f"""{_MAP}, mainf as (select repo_id, file from (select *, row_number() over (partition by repo_id order by length(text) desc, file) as r from fmap where not {_TEST.format('file')}) where r = 1),
 frank as (select *, row_number() over (partition by repo_id order by n_symbols desc, file) as place from (select c.repo_id, c.file, count(*) as n_symbols from ch c anti join mainf m on m.repo_id = c.repo_id and m.file = c.file
   where kind in ('class', 'method', 'function') and not {_TEST.format('c.file')} group by 1, 2))"""
 _DEPS = f"drank as (select repo_id, dep, n_files, row_number() over (partition by repo_id order by n_files desc, dep) as place from ({code.ORACLES['dep_split']}) where source = 'third_party' and dep is not null)"
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_filtered, kind_quota_union, rerank_pad, hit_at_k, recall_any_all, identifier_extract, identifier_count_topk, drop_contained, mention_files, mention_symbols, search_union_fold,
-    overview_totals, entry_rank, flow_rank, file_rank, dependency_rank, question_interleave, type_rank, question_sequence, enclosing_calls, screen_verdict, python_symbols, python_imports, python_calls, unused_params, quirk_groups, documentation_counts, stripped_sources,
+    vector_topk, vector_index_topk, vector_index_recall, vector_topk_filtered, kind_quota_union, rerank_pad, hit_at_k, recall_any_all, identifier_extract, identifier_count_topk, drop_contained, mention_files, mention_symbols, search_union_fold,
+    overview_totals, entry_rank, flow_rank, file_map, file_rank, dependency_rank, question_interleave, type_rank, question_sequence, enclosing_calls, screen_verdict, python_symbols, python_imports, python_calls, unused_params, quirk_groups, documentation_counts, stripped_sources,
     java_facts, java_type_refs, type_neighbors,
 )}
 _T8 = f"with {_E}, {_PAIRS}, t as ({_TOP.format(g='', c=', label, kind')})"
@@ -243,21 +261,19 @@ ORACLES = {
       select id, leaf as symbol from h where not exists (select 1 from h o where o.id = h.id and contains(o.leaf, h.leaf) and o.leaf <> h.leaf)""",
     "overview_totals": f"""with {_CH} select repo_id, count(*) filter (where kind = 'file') as n_files, cast(coalesce(sum(end_line) filter (where kind = 'file'), 0) as bigint) as n_lines, count(*) filter (where kind in ('class', 'method', 'function')) as n_symbols,
       count(*) filter (where kind in ('class', 'method', 'function') and length(summary) > 0) as n_summarised from ch group by 1""",
-    "entry_rank": f"""with f as (select repo_id, path, max(content) as content, regexp_extract(path, '([^/]*)$', 1) as name from source_files where content is not null group by 1, 2),
-      x as (select *, case when path like '%.java' and regexp_matches(content, '\\bpublic\\s+static\\s+void\\s+main\\s*\\(') then 'main method' when path like '%.py' and contains(content, '__main__') then 'main block'
+    "entry_rank": f"""with f as (select distinct on (repo_id, path) repo_id, path, content, regexp_extract(path, '([^/]*)$', 1) as name from source_files where content is not null order by repo_id, path, loaded_at desc, file_id desc),
+      x as (select *, case when path like '%.java' and regexp_matches(content, '\\bstatic\\s+void\\s+main\\s*\\(') then case when contains(content, '@SpringBootApplication') then 'main method, Spring Boot' else 'main method' end when path like '%.py' and contains(content, '__main__') then 'main block'
         when name in ({', '.join(repr(n) for n in ENTRY_FILES)}) then 'file name' end as evidence from f)
       select repo_id, path, evidence, row_number() over (partition by repo_id order by regexp_matches(lower(name), '{'|'.join(NON_ENTRY)}'), contains(path, '/'), path) as place from x where evidence is not null""",
     "flow_rank": f"with {_CH}, {_FLOW} select * from flow",
+    "file_map": f"with {_CH}, {_MAP} select * from fmap",
     "file_rank": f"with {_CH}, {_FILES} select * from frank",
     "dependency_rank": f"with {_DEPS} select * from drank",
     "question_interleave": f"""with {_CH}, {_FLOW}, {_FILES}, {_DEPS}, q as (select repo_id, (place - 1) // 2 as cycle, 2 * ((place - 1) % 2) as slot, 'flow' as family, id as item from flow union all select repo_id, place - 1, 1, 'dependency', dep from drank
       union all select repo_id, place - 1, 3, 'file', file from frank), n as (select *, row_number() over (partition by repo_id order by cycle, slot) as number from q) select repo_id, number, (number - 1) // 5 + 2 as set_no, family, item from n""",
-    "screen_verdict": f"""with {_CH}, s as (select repo_id, count(*) as n_functions, count(*) filter (where regexp_matches(code, '\"\"\"|''''''|/\\*\\*')) as n_documented from ch where kind in ('method', 'function') group by 1),
-      k as (select repo_id, count(*) as n_files from (select distinct repo_id, path from source_files where listing = 'files') group by 1), j as (select k.repo_id, n_files, coalesce(n_functions, 0) as n_functions, coalesce(n_documented, 0) as n_documented from k left join s on s.repo_id = k.repo_id)
-      select *, case when n_functions > 0 then round(n_documented / n_functions, 6) end as share, case when n_functions < 10 then 'too_small' when n_documented / n_functions > 0.8 then 'documented_already' else 'fit' end as verdict from j""",
     "java_facts": f"""with {_JAVA}, l as (select *, regexp_extract_all(p, '(?m)^[ \\t]*import[ \\t]+(?:static[ \\t]+)?([A-Za-z_][A-Za-z0-9_.]*[A-Za-z0-9_])(?:\\.\\*)?[ \\t]*;', 1) as ns from j),
       i as (select repo_id, path, string_agg(name, ',' order by pos) as imports from (select repo_id, path, name, min(pos) as pos from (select repo_id, path, ns[i] as name, i as pos from (select repo_id, path, ns, unnest(range(1, len(ns) + 1)) as i from l)) group by 1, 2, 3) group by 1, 2)
-      select j.repo_id, j.path, nullif(regexp_extract(p, '(?m)^[ \\t]*package[ \\t]+([A-Za-z0-9_.]+)[ \\t]*;', 1), '') as package, coalesce(i.imports, '') as imports, regexp_matches(p, 'public[ \\t]+static[ \\t]+void[ \\t]+main[ \\t]*\\(') as is_entry
+      select j.repo_id, j.path, nullif(regexp_extract(p, '(?m)^[ \\t]*package[ \\t]+([A-Za-z0-9_.]+)[ \\t]*;', 1), '') as package, coalesce(i.imports, '') as imports, regexp_matches(p, '\\bstatic\\s+void\\s+main\\s*\\(') as is_entry
       from j left join i on i.repo_id = j.repo_id and i.path = j.path""",
     "java_type_refs": f"with {_JAVA}, {_REFS} select * from refs",
     "type_neighbors": f"""with {_JAVA}, {_REFS}, u as (select repo_id, regexp_extract(path, '([^/]*)\\.java$', 1) as name, min(path) as dst from (select distinct repo_id, path from refs) group by 1, 2 having count(*) = 1)

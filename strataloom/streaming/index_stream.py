@@ -1,8 +1,9 @@
 """A stream of source files keeps a manifest of their newest contents.
 
 Every micro-batch is merged into a new version of the table, written beside the old one and
-published by a pointer, so readers never see half a version and a batch that runs twice after
-a failure changes nothing.
+published by a pointer that one atomic rename replaces: readers see the old version or the new
+one, at no moment none, and a batch that runs twice after a failure changes nothing. The version
+before stays for readers that still use it; older ones are deleted.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def read_index(spark: SparkSession, store: str) -> DataFrame | None:
 
 
 def publish(spark: SparkSession, store: str, table: DataFrame, batch: int) -> None:
-    """Writes a version, then moves the pointer to it by a rename."""
+    """Writes a version, then moves the pointer to it by a rename that replaces the old pointer."""
+    before, _ = published(spark, store)
     folder = f"{store}/version-{batch}"
     table.write.mode("overwrite").parquet(folder)
     temporary, fs = _path(spark, f"{store}/current.json.new")
@@ -45,8 +47,15 @@ def publish(spark: SparkSession, store: str, table: DataFrame, batch: int) -> No
     out.write(bytearray(json.dumps({"folder": folder, "batch": batch}).encode()))
     out.close()
     final, _ = _path(spark, f"{store}/current.json")
-    fs.delete(final, False)
-    fs.rename(temporary, final)
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    replace = spark.sparkContext._gateway.new_array(options, 1)
+    replace[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(temporary), fs.makeQualified(final), replace)
+    for old in fs.listStatus(final.getParent()):
+        name = old.getPath().getName()
+        if name.startswith("version-") and name not in {folder.rpartition("/")[2], (before or "").rpartition("/")[2]}:
+            fs.delete(old.getPath(), True)
 
 
 def merge_batch(store: str):

@@ -45,8 +45,9 @@ def test_modules_and_edges(spark):
     assert rows(entries) == [(1, "b", "tools/b.py"), (1, "c", "tools/c.py"), (1, "pkg", "pkg/__init__.py"), (1, "pkg.b", "pkg/b.py"), (1, "pkg.core", "pkg/core/__init__.py"), (1, "pkg.core.a", "pkg/core/a.py")]
     used = spark.createDataFrame([(1, "pkg/b.py", "x.pkg.core.a"), (1, "pkg/b.py", "pkg.b"), (1, "tools/c.py", "numpy.linalg"), (1, "tools/c.py", "os.path"), (1, "tools/c.py", ".rel"), (1, "tools/c.py", "pkg.core")], "repo_id bigint, file string, name string")
     assert rows(imports.import_edges(used, entries)) == [(1, "pkg/b.py", "pkg/core/a.py"), (1, "tools/c.py", "pkg/core/__init__.py")]
-    assert {(r["name"], r["internal"]) for r in imports.internal_imports(used, entries).collect()} == {("x.pkg.core.a", True), ("pkg.b", True), ("numpy.linalg", False), ("os.path", False), (".rel", True), ("pkg.core", True)}
-    assert rows(imports.dependencies(used, entries)) == [(1, "numpy", "third_party", 1), (1, "os", "stdlib", 1)]
+    names = entries.select("repo_id", entries["module"].alias("name"))
+    assert {(r["name"], r["internal"]) for r in imports.internal_imports(used, names).collect()} == {("x.pkg.core.a", True), ("pkg.b", True), ("numpy.linalg", False), ("os.path", False), (".rel", True), ("pkg.core", True)}
+    assert rows(imports.dependencies(used, names)) == [(1, "numpy", "third_party", 1), (1, "os", "stdlib", 1)]
 
 
 CHUNKS = "chunk_id bigint, repo_id bigint, file string, symbol string, kind string, start_line int, end_line int, code string, parent string, calls array<string>, imports array<string>"

@@ -18,6 +18,8 @@ def test_vector_topk_against_brute_force(spark, monkeypatch):
     base = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(vectors)] + [(500, None, 0), (501, [], 0)], "vec_id bigint, embedding array<double>, label int")
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
     monkeypatch.setattr(retrieval, "BASE_BLOCK", 30)
+    monkeypatch.setattr(retrieval, "QUERY_SLICE", 5)
+    monkeypatch.setattr(retrieval, "SLICES_AT_ONCE", 2)
     queries = base.where("vec_id % 10 = 0")
     found = {(r["query"], r["rank"]): (r["vec_id"], r["distance"]) for r in retrieval.vector_topk(queries, base, k=5).collect()}
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
@@ -30,6 +32,19 @@ def test_vector_topk_against_brute_force(spark, monkeypatch):
     assert retrieval.vector_topk(base.limit(0), base).count() == 0
 
 
+def test_index_reaches_its_recall_and_looks_into_few_lists_where_vectors_lie_in_groups(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(30, 16))
+    vectors = middles[rng.integers(0, 30, 1500)] + 0.3 * rng.normal(size=(1500, 16))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(9000, None), (9001, [])], "vec_id bigint, embedding array<double>")
+    index = retrieval.fit_index(base, centres=24)
+    assert index.probes <= 8
+    queries = base.where("vec_id % 50 = 0")
+    row = retrieval.recall(retrieval.index_topk(queries, base, index), retrieval.vector_topk(queries, base)).collect()[0]
+    assert row["n_exact"] == 240 and row["recall"] >= 0.9
+    assert retrieval.index_topk(base.limit(0), base, index).count() == 0 and retrieval.fit_index(base.limit(0)).probes == 0
+
+
 def test_quotas_use_up_their_places(spark):
     every = spark.createDataFrame([(1, r, r, k) for r, k in enumerate(["fn", "file", "fn", "fn", "fn", "file", "doc", "fn", "fn"], 1)], "query bigint, rank bigint, vec_id bigint, kind string")
     by_kind = spark.createDataFrame([(1, 1, 2, "file"), (1, 2, 6, "file"), (1, 3, 99, "file"), (1, 1, 7, "doc")], "query bigint, rank bigint, vec_id bigint, kind string")
