@@ -34,6 +34,24 @@ def reuse_summaries(chunks: DataFrame, cached: DataFrame, old: DataFrame, now: D
     return joined.select("chunk_id", F.when(reused, F.col("cached")).otherwise(F.coalesce("summary", F.lit(""))).alias("summary"), reused.alias("reused"))
 
 
+def stage(pending: DataFrame, update: DataFrame) -> DataFrame:
+    """Pending entries of a manifest (repo_id, path, hash) with those of an update over them; nothing is committed."""
+    return upsert(pending, update, ["repo_id", "path"])
+
+
+def commit(committed: DataFrame, pending: DataFrame) -> DataFrame:
+    """The manifest after a commit: pending entries replace committed ones. What was pending is empty after it."""
+    return upsert(committed, pending, ["repo_id", "path"])
+
+
+def reusable(committed: DataFrame, pending: DataFrame, now: DataFrame) -> DataFrame:
+    """repo_id, path, source of the files of `now`: pending where an interrupted run has this hash, committed where the last whole one has, else new."""
+    joined = (
+        now.join(pending.withColumnRenamed("hash", "p"), ["repo_id", "path"], "left").join(committed.withColumnRenamed("hash", "c"), ["repo_id", "path"], "left")
+    )
+    return joined.select("repo_id", "path", F.when(F.col("p") == F.col("hash"), "pending").when(F.col("c") == F.col("hash"), "committed").otherwise("new").alias("source"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """All rows by key; those of `new` replace those of `old`. Both are unique by key."""
     return new.unionByName(old.join(new.select(*key), key, "left_anti"))

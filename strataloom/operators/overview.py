@@ -24,6 +24,14 @@ def totals(chunks: DataFrame) -> DataFrame:
     )
 
 
+def index_stats(chunks: DataFrame, manifest: DataFrame, collected: DataFrame) -> DataFrame:
+    """repo_id, n_files, n_chunks, n_summarised and n_removed (files of the manifest that are not collected any more)."""
+    symbol = F.col("kind").isin("class", "method", "function")
+    counts = chunks.groupBy("repo_id").agg(F.count_if(F.col("kind") == "file").alias("n_files"), F.count("*").alias("n_chunks"), F.count_if(symbol & (F.length("summary") > 0)).alias("n_summarised"))
+    gone = manifest.join(collected.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti").groupBy("repo_id").agg(F.count("*").alias("n_removed"))
+    return counts.join(gone, "repo_id", "left").na.fill(0, ["n_removed"])
+
+
 def entry_points(files: DataFrame) -> DataFrame:
     """repo_id, path, evidence, place: files that look as if a program starts there.
 

@@ -66,6 +66,26 @@ def answered_questions(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return answers.where("question_id is not null").join(totals, "id").groupBy("question_id").agg(F.count("*").alias("n_attempts"), F.max("total").alias("best")).join(questions.select(F.col("id").alias("question_id")), "question_id")
 
 
+def mark_answered(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """id, answered: whether an answer of the same repository repeats the question's text; a null text is answered by none."""
+    texts = answers.where("question_text is not null").select("repo_id", F.col("question_text").alias("text"), F.lit(True).alias("found")).distinct()
+    return questions.join(texts, ["repo_id", "text"], "left").select("id", F.coalesce("found", F.lit(False)).alias("answered"))
+
+
+def insert_numbered(existing: DataFrame, new: DataFrame, order: list[str], key: str = "id") -> DataFrame:
+    """`new` with `key`: numbers after the largest of `existing`, in a total `order`; an empty table begins with 1."""
+    last = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("__last"))  # one row
+    placed = rank_within(new.withColumn("__all", F.lit(0)), ["__all"], order, "__place").drop("__all")
+    return placed.join(F.broadcast(last)).withColumn(key, (F.col("__last") + F.col("__place")).cast("long")).drop("__last", "__place")
+
+
+def get_or_create(existing: DataFrame, names: DataFrame, name: str = "path", key: str = "id") -> DataFrame:
+    """`key`, `name`: the existing rows and one new row for each of `names` that isn't among them, numbered by name. Null names are left out."""
+    wanted = names.where(F.col(name).isNotNull()).select(name).distinct()
+    missing = wanted.join(existing.select(name), name, "left_anti")
+    return existing.select(F.col(key).cast("long").alias(key), name).unionByName(insert_numbered(existing, missing, [name], key).select(key, name))
+
+
 def asks_with_parent(asks: DataFrame) -> DataFrame:
     """id, parent_id and parent_question (null where the parent is unknown)."""
     parent = asks.select(F.col("id").alias("parent_id"), F.col("question").alias("parent_question"))

@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strataloom.functions.windows import numbered
 
 
+# Titles of a text without headings and of what precedes the first one; what begins a section.
+WHOLE, PREAMBLE = "README", "머리말"
+HEADING = r"^\s*##? \s*\S"
+
+
+def _titled(title: Column, section: Column, by: WindowSpec) -> Column:
+    """The heading of a section; of the first without one, whether others follow decides."""
+    return F.coalesce(title, F.when(F.max(section).over(by) > 0, F.lit(PREAMBLE)).otherwise(F.lit(WHOLE)))
+
+
 def markdown_sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, section, title, start_line, end_line of Markdown texts.
 
-    Headings of level 1 and 2 outside code fences begin a section; what precedes the first is a
-    section without title, dropped where blank. Windows run within one document.
+    Headings of level 1 and 2 outside code fences begin a section, indented ones too; what precedes the
+    first is a section of its own, blank ones are dropped. Windows run within one document.
     """
     lines = documents.where(F.length(text) > 0).select(key, F.posexplode(F.split(text, "\r?\n")).alias("pos", "line"))
     w = Window.partitionBy(key).orderBy("pos")
     fences = F.sum(F.when(F.col("line").rlike(r"^\s*```"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = lines.withColumn("fences", fences).withColumn("head", (F.col("fences") % 2 == 0) & F.col("line").rlike(r"^##? \S"))
+    marked = lines.withColumn("fences", fences).withColumn("head", (F.col("fences") % 2 == 0) & F.col("line").rlike(HEADING))
     cut = marked.withColumn("section", F.sum(F.col("head").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     sections = cut.groupBy(key, "section").agg(
-        F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", "^##? ", "")))).alias("title"), (F.min("pos") + 1).cast("bigint").alias("start_line"), (F.max("pos") + 1).cast("bigint").alias("end_line"),
+        F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", r"^\s*#+\s*", "")))).alias("title"), (F.min("pos") + 1).cast("bigint").alias("start_line"), (F.max("pos") + 1).cast("bigint").alias("end_line"),
         F.max((F.length(F.trim("line")) > 0).cast("int")).alias("filled"),
     )
-    return sections.where("filled = 1").select(key, "section", "title", "start_line", "end_line")
+    titled = sections.withColumn("title", _titled(F.col("title"), F.col("section"), Window.partitionBy(key)))
+    return titled.where("filled = 1").select(key, "section", "title", "start_line", "end_line")
 
 
 def section_keywords(documents: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 200) -> DataFrame:
@@ -44,7 +55,7 @@ STATUS_MARKS = ("🚧", "⚠️", "🏗", "WIP", "Work in progress", "개발 중
 
 
 def keywords_by_section(documents: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 200) -> DataFrame:
-    """key, section, title and keywords of each section of `markdown_sections`.
+    """key, section, title, keywords, start_line and end_line of each section of `markdown_sections`.
 
     Keywords are the section's lines outside code fences without markup, sub-headings among them,
     until `budget` characters are reached, cut to them. The title's echo before the first other line,
@@ -58,10 +69,10 @@ def keywords_by_section(documents: DataFrame, key: str = "doc_id", text: str = "
     bare = strip(F.regexp_replace(strip(F.col("line")), r"^#+", ""))
     plain = strip(F.replace(F.replace(F.regexp_replace(bare, r"^[-*>+ ]+", ""), F.lit("|"), F.lit(" ")), F.lit("**"), F.lit("")))
     # As markdown_sections numbers them; one shuffle by `key` serves all windows.
-    marked = lines.withColumn("prose", (fences % 2 == 0)).withColumn("head", F.col("prose") & F.col("line").rlike(r"^##? \S"))
+    marked = lines.withColumn("prose", (fences % 2 == 0)).withColumn("head", F.col("prose") & F.col("line").rlike(HEADING))
     cut = marked.withColumn("section", F.sum(F.col("head").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     inside = Window.partitionBy(key, "section").orderBy("pos")
-    title = F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", "^##? ", "")))).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    title = F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", r"^\s*#+\s*", "")))).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     named = cut.withColumns({"title": title, "filled": F.length(F.trim("line")) > 0, "prose": F.col("prose") & ~fence}).withColumn("line", plain)
     status = (F.length("line") <= 30) & F.col("line").rlike("|".join(STATUS_MARKS))
     joined = named.withColumn("worth", F.col("prose") & ~F.col("line").rlike(r"^[-: ]*$|^\[?!\[") & ~status)
@@ -70,8 +81,9 @@ def keywords_by_section(documents: DataFrame, key: str = "doc_id", text: str = "
     before = F.coalesce(F.sum(F.when(F.col("picked"), F.length("line")).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = picked.withColumn("kept", F.when(F.col("picked") & (before < budget), F.struct("pos", "line")))
     ordered = F.transform(F.array_sort(F.collect_list("kept")), lambda x: x["line"])
-    found = kept.groupBy(key, "section").agg(F.max("title").alias("title"), F.substring(F.array_join(ordered, " "), 1, budget).alias("keywords"), F.max("filled").alias("filled"))
-    return found.where("filled").drop("filled")
+    found = kept.groupBy(key, "section").agg(F.max("title").alias("title"), F.substring(F.array_join(ordered, " "), 1, budget).alias("keywords"), F.max("filled").alias("filled"), (F.min("pos") + 1).cast("bigint").alias("start_line"), (F.max("pos") + 1).cast("bigint").alias("end_line"))
+    titled = found.withColumn("title", _titled(F.col("title"), F.col("section"), Window.partitionBy(key)))
+    return titled.where("filled").drop("filled")
 
 
 def occurrence_numbers(chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.operators import incremental, records, text
+from strataloom.operators import incremental, overview, project_files, records, text
 from strataloom.plans.code import distinct_chunks
 from strataloom.sources.tables import table
 
@@ -81,6 +81,7 @@ def feedback_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _CUT = "2025-09-01"
+_STAGED = (_CUT, "2025-10-01", "2025-11-01")
 
 
 def _manifests(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -114,6 +115,44 @@ def stale_restore(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.restore(distinct_chunks(spark, folder), table(spark, folder, "source_files")).select("chunk_id", "state", F.sha2("code", 256).alias("code_hash"))
 
 
+def manifest_resume(spark: SparkSession, folder: str) -> DataFrame:
+    """A run over the files of before was committed; a later one staged two months of new files and was cut off."""
+    files = table(spark, folder, "source_files")
+    before, now = _manifests(spark, folder)
+    months = [incremental.manifest(files.where(f"loaded_at >= timestamp '{a}' and loaded_at < timestamp '{b}'")) for a, b in zip(_STAGED, _STAGED[1:])]
+    return incremental.reusable(before, incremental.stage(*months), now)
+
+
+def index_stats(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "source_files")
+    return overview.index_stats(distinct_chunks(spark, folder), incremental.manifest(files), files.where("listing = 'files'"))
+
+
+def questions_answered(spark: SparkSession, folder: str) -> DataFrame:
+    return records.mark_answered(_rec(spark, folder, "questions"), _rec(spark, folder, "answers"))
+
+
+def repo_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all repositories that documents name, where only those created before 2024-07 were known."""
+    known = table(spark, folder, "repos").where("created_at < '2024-07'").select("id", "path")
+    return records.get_or_create(known, table(spark, folder, "documents").select(F.col("source").alias("path")))
+
+
+def readme_sections(spark: SparkSession, folder: str) -> DataFrame:
+    found = project_files.readme_chunks(table(spark, folder, "source_files"))
+    return found.select("repo_id", "file", "symbol", "title", "start_line", "end_line", "summary", F.sha2("code", 256).alias("code_hash"))
+
+
+def readme_first(spark: SparkSession, folder: str) -> DataFrame:
+    return project_files.readme_texts(table(spark, folder, "source_files")).select("repo_id", "folder", "path", F.sha2("text", 256).alias("text_hash"))
+
+
+def project_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """What every TOML file with settings says of its project."""
+    found = project_files.config_chunks(table(spark, folder, "source_files"), r"\.toml$")
+    return found.select("repo_id", "file", "kind", "start_line", "end_line", "summary", F.sha2("code", 256).alias("code_hash"))
+
+
 def md_sections(spark: SparkSession, folder: str) -> DataFrame:
     return text.markdown_sections(table(spark, folder, "documents"))
 
@@ -161,7 +200,7 @@ _FENCED = "fenced as (select *, sum(case when regexp_matches(line, '^\\s*```') t
 
 QUERIES = {f.__name__: f for f in (
     upsert_latest, prune_deleted, verdict_summary, tally, repeated_assertions, claims_for, score_total, answered_attempts, answered_distinct, list_asks_parent, ask_chain, history_text, question_sets, newest_asks, feedback_parse,
-    manifest_hash, hash_changed, cache_apply, manifest_upsert, prune_stale, stale_restore, md_sections, section_keywords, keywords_by_section, occurrence_suffix, file_chunk_assemble, embedding_text, chunk_locations, names_line,
+    manifest_hash, hash_changed, cache_apply, manifest_upsert, prune_stale, stale_restore, manifest_resume, index_stats, questions_answered, repo_ids, readme_sections, readme_first, project_settings, md_sections, section_keywords, keywords_by_section, occurrence_suffix, file_chunk_assemble, embedding_text, chunk_locations, names_line,
 )}
 ORACLES = {
     "upsert_latest": "select id, max(loaded_at) as loaded_at from answers where id is not null group by 1",
@@ -194,9 +233,20 @@ ORACLES = {
       j as (select ch.*, f.content, string_split(f.content, chr(10)) as ls from ch left join f on f.repo_id = ch.repo_id and f.path = ch.file and f.r = 1),
       s as (select *, case when content is not null then array_to_string(ls[start_line:end_line], chr(10)) end as cut from j)
       select chunk_id, case when content is null then 'gone' when end_line > len(ls) then 'beyond' when cut = code then 'fresh' else 'stale' end as state, sha256(cut) as code_hash from s""",
-    "md_sections": f"""with {_LINES}, {_FENCED}, h as (select *, fences % 2 = 0 and regexp_matches(line, '^##? [^\\s\\v]') as head from fenced),
+    "md_sections": f"""with {_LINES}, {_FENCED}, h as (select *, fences % 2 = 0 and regexp_matches(line, '^[\\s\\v]*##? [\\s\\v]*[^\\s\\v]') as head from fenced),
       n as (select *, sum(head::int) over (partition by doc_id order by pos) as section from h)
-      select doc_id, cast(section as bigint) as section, max(case when head then trim(regexp_replace(line, '^##? ', ''), ' ') end) as title, min(pos) + 1 as start_line, max(pos) + 1 as end_line from n group by 1, 2 having max(length(trim(line, ' '))) > 0""",
+      select doc_id, section, coalesce(title, case when last > 0 then '머리말' else 'README' end) as title, start_line, end_line from (select doc_id, cast(section as bigint) as section, max(case when head then trim(regexp_replace(line, '^[\\s\\v]*#+[\\s\\v]*', ''), ' ') end) as title,
+        min(pos) + 1 as start_line, max(pos) + 1 as end_line, max(length(trim(line, ' '))) as filled, max(max(section)) over (partition by doc_id) as last from n group by 1, 2) where filled > 0""",
+    "manifest_resume": f"""with {_MANS}, {_MAN.format('since', f"loaded_at >= timestamp '{_STAGED[0]}' and loaded_at < timestamp '{_STAGED[-1]}'")}
+      select n.repo_id, n.path, case when s.hash = n.hash then 'pending' when o.hash = n.hash then 'committed' else 'new' end as source from now_ n
+      left join since s on s.repo_id = n.repo_id and s.path = n.path left join old o on o.repo_id = n.repo_id and o.path = n.path""",
+    "index_stats": f"""with {_CH}, {_MAN.format('m', 'true')}, g as (select repo_id, count(*) as n from m where not exists (select 1 from source_files f where f.repo_id = m.repo_id and f.path = m.path and f.listing = 'files') group by 1)
+      select c.*, coalesce(g.n, 0) as n_removed from (select repo_id, count(*) filter (where kind = 'file') as n_files, count(*) as n_chunks, count(*) filter (where kind in ('class', 'method', 'function') and length(summary) > 0) as n_summarised from ch group by 1) c left join g on g.repo_id = c.repo_id""",
+    "questions_answered": f"with {_D['questions']}, {_D['answers']} select id, exists (select 1 from a where a.repo_id = q.repo_id and a.question_text = q.text) as answered from q",
+    "repo_ids": """with k as (select id, path from repos where created_at < '2024-07'), w as (select distinct source as path from documents where source is not null and source not in (select path from k))
+      select id, path from k union all select (select coalesce(max(id), 0) from k) + row_number() over (order by path), path from w""",
+    "readme_first": """with f as (select distinct on (repo_id, path) repo_id, path, content, regexp_extract(path, '([^/]*)$', 1) as name, regexp_replace(path, '/?[^/]*$', '') as folder from source_files where content is not null order by repo_id, path, loaded_at desc, file_id desc)
+      select repo_id, folder, path, sha256(content) as text_hash from (select *, row_number() over (partition by repo_id, folder order by name) as r from f where lower(name) like 'readme%') where r = 1""",
     "section_keywords": f"""with {_LINES}, {_FENCED}, plain as (select doc_id, pos, trim(regexp_replace(line, '[*_`>|-]+', ' ', 'g'), ' ') as line from fenced where fences % 2 = 0 and not regexp_matches(line, '^\\s*(?:```|#|!\\[|\\[!\\[)')),
       kept as (select *, coalesce(sum(length(line)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as before from plain where line <> '')
       select doc_id, substring(string_agg(line, ' ' order by pos), 1, 200) as keywords from kept where before < 200 group by 1""",
