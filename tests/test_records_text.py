@@ -73,7 +73,7 @@ def test_restore(spark):
 
 def test_markdown(spark):
     docs = spark.createDataFrame([(1, "intro\n# One\ntext\n```\n# not a heading\n```\n## Two\n### no cut\nend"), (2, "no heading"), (3, None), (4, ""), (5, "\n\n# Only\n")], "doc_id bigint, text string")
-    assert rows(text.markdown_sections(docs)) == [(1, 0, "머리말", 1, 1), (1, 1, "One", 2, 6), (1, 2, "Two", 7, 9), (2, 0, None, 1, 1), (5, 1, "Only", 3, 4)]
+    assert rows(text.markdown_sections(docs)) == [(1, 0, "머리말", 1, 1), (1, 1, "One", 2, 6), (1, 2, "Two", 7, 9), (2, 0, "README", 1, 1), (5, 1, "Only", 3, 4)]
     words = dict(rows(text.section_keywords(docs, budget=10)))
     assert words[1] == "intro text" and words[2] == "no heading" and 3 not in words
 
